@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, quality, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op8_url_filter": url_filter.op8_url_filter,
 }
 ORACLES = {
     "op1_mixing": mixing.SQL,
+    "op2_quality_rules": quality.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op8_url_filter": url_filter.SQL,
 }
