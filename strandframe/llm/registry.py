@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality, url_filter
+from . import decontamination, line_dedup, mixing, quality, token_counts, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality.op2_quality_rules,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLES = {
     "op1_mixing": mixing.SQL,
     "op2_quality_rules": quality.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op7_decontamination": decontamination.SQL,
     "op8_url_filter": url_filter.SQL,
 }
