@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, quality, token_counts, url_filter
+from . import decontamination, jaccard, line_dedup, mixing, quality, token_counts, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 ORACLES = {
     "op1_mixing": mixing.SQL,
