@@ -107,3 +107,7 @@ def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.flatnonzero(words.row[: len(words.row) - n + 1] == words.row[n - 1 :])
     return at, span_hashes(words.hashes, at, at + n, WORD_BASE)
+
+
+#: For bytes.translate(): every space byte as a blank (bytes.split() alone knows the same six).
+SPACES_BYTES = bytes(32 if IS_SPACE[b] else b for b in range(256))

@@ -198,7 +198,7 @@ def doc_rows(doc: np.ndarray, value: np.ndarray, n: int) -> pa.Table:
     return pa.table([pa.array(names, pa.int32()), pa.array(c0, pa.binary()), pa.array(c1, pa.binary())], names=["bucket", "c0", "c1"])
 
 
-def repeated(group: pa.Table, n: int, older: pa.Table | None = None) -> pa.Table:
+def repeated(group: pa.Table, n: int) -> pa.Table:
     """Of one bucket: packed rows dealt by document, of anchors found twice."""
     bucket = group["bucket"][0].as_py()
     if bucket < 0:
@@ -241,8 +241,8 @@ def _chunk_batch(rows: list[list]) -> pa.RecordBatch:
 
 
 def chunk_entries(docs: DataFrame, u: Units, body: Callable[[Texts, np.ndarray, Chunks], tuple[bytes, np.ndarray]], n: int) -> DataFrame:
-    """Chunks of flagged anchors of (id, text, flags), dealt by the anchor's hash. Copies within a flush of a chunk of an earlier
-    document are settled at once: buckets below 0 have them, dealt by document, as removed windows."""
+    """Chunks of (id, text), of flagged anchors only if there is a third column flags, dealt by the anchor's hash. Copies within a
+    flush of an earlier chunk are settled at once: buckets below 0 have them, dealt by document, as removed windows."""
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
         key, doc, start, count, mark, size = (np.concatenate([p[i] for p in parts]) for i in range(6))
@@ -251,7 +251,7 @@ def chunk_entries(docs: DataFrame, u: Units, body: Callable[[Texts, np.ndarray,
         order, starts, many = _sorted_groups(mark, doc, start)
         least = np.empty(len(order), np.int64)
         least[order] = np.repeat(order[starts], many)  # the earliest chunk of the same content
-        gone = doc > doc[least]
+        gone = (doc > doc[least]) | (u.within & (doc == doc[least]) & (start != start[least]))
         rows = []
         for bucket, (d, s, c) in to_docs(doc[gone], [start[gone], count[gone]], n):
             rows.append(_chunk_row(-1 - bucket, d[:0], d, s, c, b"", s[:0]))
@@ -267,16 +267,17 @@ def chunk_entries(docs: DataFrame, u: Units, body: Callable[[Texts, np.ndarray,
     def scan(batches):
         parts, held = [], 0
         for batch in batches:
-            ids, flags = _ids(batch), batch.column(2)
+            ids, flags = _ids(batch), batch.column(2) if batch.num_columns > 2 else None
             for t in pieces(batch.column(1)):
                 values, offsets = u.of(t)
                 c = chunks_of(values, offsets, u)
                 rows = len(t.offsets) - 1
-                mine = [np.frombuffer(flags[t.first + i].as_py(), np.uint32) for i in range(rows)]
-                # flags of all rows as one sorted array of (row, flag)
-                have = np.repeat(np.arange(rows, dtype=np.uint64), [len(m) for m in mine]) << np.uint64(32) | np.concatenate(mine).astype(np.uint64)
-                want = c.row.astype(np.uint64) << np.uint64(32) | low_bits(c.key).astype(np.uint64)
-                c = c.take(np.isin(want, have))
+                if flags is not None:
+                    mine = [np.frombuffer(flags[t.first + i].as_py(), np.uint32) for i in range(rows)]
+                    # flags of all rows as one array of (row, flag)
+                    have = np.repeat(np.arange(rows, dtype=np.uint64), [len(m) for m in mine]) << np.uint64(32) | np.concatenate(mine).astype(np.uint64)
+                    want = c.row.astype(np.uint64) << np.uint64(32) | low_bits(c.key).astype(np.uint64)
+                    c = c.take(np.isin(want, have))
                 if not len(c.key):
                     continue
                 blob, size = body(t, values, c)
@@ -292,6 +293,20 @@ def chunk_entries(docs: DataFrame, u: Units, body: Callable[[Texts, np.ndarray,
     return docs.mapInArrow(scan, CHUNK_SCHEMA)
 
 
+def removed_runs(gone: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, n: int) -> list[tuple]:
+    """(bucket, documents, first windows, windows) of the runs of removed windows of chunks, dealt by document."""
+    if not gone.any():
+        return []
+    owner = np.repeat(np.arange(len(count)), count)
+    first = np.ones(len(gone), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | ~gone[:-1]
+    heads = np.flatnonzero(gone & first)
+    total = np.concatenate(([0], np.cumsum(gone)))
+    length = total[np.append(heads[1:], len(gone))] - total[heads]
+    at = start[owner[heads]] + heads - (np.cumsum(count) - count)[owner[heads]]
+    return [(b, *c) for b, c in to_docs(doc[owner[heads]], [at, length], n)]
+
+
 SPAN_SCHEMA = "bucket int, doc binary, start binary, count binary"
 
 
@@ -307,15 +322,7 @@ def settled(chunks: DataFrame, settle: Settle, n: int) -> DataFrame:
         else:
             size = get("size", np.uint32).astype(np.int64)
             gone = settle(get("key", np.uint64), doc, start, count, size, b"".join(group["body"].to_pylist()))
-            owner = np.repeat(np.arange(len(count)), count)
-            first = np.ones(len(gone), bool)
-            first[1:] = (owner[1:] != owner[:-1]) | ~gone[:-1]
-            heads = np.flatnonzero(gone & first)
-            total = np.concatenate(([0], np.cumsum(gone)))
-            ends = np.append(heads[1:], len(gone))
-            length = total[ends] - total[heads]
-            at = start[owner[heads]] + heads - (np.cumsum(count) - count)[owner[heads]]
-            runs = [(b, *c) for b, c in to_docs(doc[owner[heads]], [at, length], n)]
+            runs = removed_runs(gone, doc, start, count, n)
         rows = [[b, d.tobytes(), s.astype(np.uint32).tobytes(), c.astype(np.uint32).tobytes()] for b, d, s, c in runs]
         names = [c.split()[0] for c in SPAN_SCHEMA.split(", ")]
         return pa.table([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(4)], names=names)
