@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprint_index, jaccard, line_dedup, mixing, quality, suffix_dedup, token_counts, url_filter
+from . import decontamination, fingerprint_index, jaccard, language_id, line_dedup, mixing, quality, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_language_id": language_id.op5_language_id,
     "op6_fingerprint_index": fingerprint_index.op6_fingerprint_index,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_url_filter": url_filter.op8_url_filter,
