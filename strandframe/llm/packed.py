@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries a worker gathers before it sends them on; bytes of entries a bucket is meant to hold.
-FLUSH, BUCKET_BYTES = 1_500_000, 24 << 20
+FLUSH, BUCKET_BYTES = 1_000_000, 16 << 20
 
 
 def n_buckets(entries: int, width: int) -> int:

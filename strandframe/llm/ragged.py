@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer single text is a piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 19
 _RANDOM = np.random.default_rng(20240501)
 #: A random 64-bit value for each byte; BASE and WORD_BASE are odd, so they have inverses modulo 2**64.
 BYTE_VALUE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -26,7 +26,7 @@ from .ragged import Texts
 
 WINDOW, GRAM = 50, 24
 #: Bytes of one suffix array; a bucket with more is cut between anchors.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 
 
 def _words(text: np.ndarray) -> np.ndarray:
