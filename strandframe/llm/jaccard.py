@@ -7,9 +7,10 @@ differ in fewer blocks than there are: |A ^ B| <= (1 - t) / (1 + t) * (|A| + |B|
 equal, so rows whose hashes of a block agree are the product's candidate cells, and a frequent
 shingle, line or passage alone brings no cell, as it would in the plain product. Cells are
 accumulated per block group as a star around its best connected row, and multiplied out exactly (overlap
-counts of whole rows, in blocks of pairs), after the size bound. Links become components; the groups
-that still span components have their remaining cells multiplied out too, so no link between
-different components is lost.
+counts of whole rows, in blocks of pairs), after the size bound. Links become components. Groups that
+still span components get further stars between them; what is then left apart is compared in blocks by sketches (counts of
+hashed shingles: their L1 distance is at most the sets' difference), and the pairs that these don't rule
+out are multiplied out, so no link between different components is lost.
 
 Empty blocks are not hashed; one spare block per class makes up for them. Links, components and
 sets stay distributed. Defined cases: null text and texts without words have empty sets and link with nothing; texts of
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packed
@@ -30,6 +31,8 @@ from .ragged import ASCII_LOWER, IS_SPACE, Texts, grams, mix, pieces, span_hashe
 
 SHINGLE, PERCENT = 3, 90
 _SALT = np.uint64(0x2545F4914F6CDD1D)
+#: Counters of a sketch; rounds of stars between components; members of a block of compared sketches.
+SKETCH, STARS, BLOCK = 128, 3, 2048
 
 
 def shingle_sets(texts: Texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +114,51 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, n_shingles long, name long, check long")
 
 
+def sketches_of(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
+    """(name, size, sketch) of the named sets: how many shingles fall to each of SKETCH counters."""
+
+    def scan(batches):
+        for batch in batches:
+            for t in pieces(batch.column(1)):
+                _, size, name, _, _, rows, hashes = named_sets(t, n)
+                owner = np.repeat(np.arange(len(size)), size)
+                slot = (hashes >> np.uint64(40)).astype(np.int64) % SKETCH
+                counts = np.bincount(owner * SKETCH + slot, minlength=len(size) * SKETCH).astype(np.int32).reshape(-1, SKETCH)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(size), pa.array([c.tobytes() for c in counts], pa.binary())], names=["name", "size", "sketch"])
+
+    found = docs.mapInArrow(scan, "name long, size long, sketch binary").join(names, "name")
+    return found.groupBy("name").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+
+
+def near_cells(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of members (g, name, root, size, sketch), pairs of a group and different roots whose sketches allow a link.
+
+    Groups are compared in blocks of about BLOCK members by BLOCK; only pairs that pass are emitted.
+    """
+    n_blocks = F.ceil(F.count("*").over(Window.partitionBy("g")) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("name"), F.col("of")).cast("int")
+    parts = members.withColumn("of", n_blocks).withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
+    parts = parts.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        name, root, size, own = (np.asarray(table[c]) for c in ("name", "root", "size", "own"))
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.int32).reshape(-1, SKETCH)
+        out = []
+        right = np.flatnonzero(own == j)
+        for k in np.flatnonzero(own == i).tolist():
+            near = right[(root[right] != root[k]) & ((name[right] > name[k]) if i == j else (name[right] != name[k]))]
+            total = size[near] + size[k]
+            apart = np.abs(sketch[near] - sketch[k]).sum(1)
+            near = near[apart * (100 + percent) <= (100 - percent) * total]
+            out.append(np.stack((np.minimum(name[near], name[k]), np.maximum(name[near], name[k])), 1))
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return parts.select("g", "name", "root", "size", "sketch", "own", "i", "j").groupBy("g", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def block_groups(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     """(members): names of sets with an equal block, the best connected first; each group of members once a bucket."""
 
@@ -229,16 +277,26 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     star = table(star.select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b")).distinct(), "jaccard-cells")
     links = table(overlap_links(slim, star, n, percent), "jaccard-links")
     roots = connected(links)
-    # groups that still span components: every cell between two of them that is not multiplied out yet
-    apart = groups.withColumn("g", F.xxhash64("members")).dropDuplicates(["g"]).select("g", F.explode("members").alias("name"))
-    apart = apart.join(roots, "name", "left").select("g", "name", F.coalesce("root", "name").alias("root"))
-    split = apart.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
-    split = table(apart.join(split, "g").distinct(), "jaccard-split")
-    rest = split.join(split.select("g", F.col("name").alias("b"), F.col("root").alias("rb")), "g").filter("name < b AND root <> rb")
-    rest = table(rest.select(F.col("name").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti"), "jaccard-rest")
-    if not rest.isEmpty():
-        links = table(links.unionByName(overlap_links(slim, rest, n, percent)), "jaccard-links")
-        roots = connected(links)
+    members = groups.withColumn("g", F.xxhash64("members")).dropDuplicates(["g"]).select("g", F.explode("members").alias("name"))
+    for k in range(STARS + 1):
+        apart = members.join(roots, "name", "left").select("g", "name", F.coalesce("root", "name").alias("root"))
+        split = apart.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
+        members = table(apart.join(split, "g"), "jaccard-split")  # groups that still span components
+        if members.isEmpty():
+            break
+        if k < STARS:  # a member of a group's largest component against all outside of it
+            part = members.groupBy("g", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("r"), "name")).alias("hub"))
+            part = part.groupBy("g").agg(F.max(F.struct("n", "root", F.col("hub")["name"].alias("hub"))).alias("top")).select("g", "top.hub", F.col("top.root").alias("top"))
+            cells = members.join(part, "g").filter("root <> top").select(F.least("hub", "name").alias("a"), F.greatest("hub", "name").alias("b"))
+        else:
+            sketches = sketches_of(slim, small(table(members.select("name").distinct(), "jaccard-apart")), n)
+            cells = near_cells(members.join(sketches, "name"), percent)
+        cells = table(cells.distinct().join(star, ["a", "b"], "left_anti"), "jaccard-cells")
+        if not cells.isEmpty():
+            star = table(star.unionByName(cells), "jaccard-done")
+            links = table(links.unionByName(overlap_links(slim, cells, n, percent)), "jaccard-links")
+            roots = connected(links)
+        members = members.select("g", "name")
     named = sets.join(small(roots), "name", "left").withColumn("root", F.coalesce("root", "name"))
     named = named.select("doc_id", "n_shingles", "root")
     least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("of")).filter("of > 1").select("root", "least")
