@@ -165,7 +165,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(repeats.NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
     index = FingerprintIndex(spark, repeats.buckets_of(slim))
-    cuts = sorted({int(c) for c in slim.filter(F.col("id") != repeats.NO_ID).approxQuantile("id", list(parts), 0.01)})
+    cuts = sorted({int(c) for c in (slim.filter(F.col("id") != repeats.NO_ID).approxQuantile("id", list(parts), 0.01) if parts else [])})
     windows, low = None, None
     for high in [*cuts, None]:
         batch = slim if low is None else slim.filter(F.col("id") > low)
