@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_copynumber, q_intervals
+from . import q_copynumber, q_intervals, q_kernels
 
 QUERIES, ORACLES = {}, {}
-for _module in (q_intervals, q_copynumber):
+for _module in (q_intervals, q_copynumber, q_kernels):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
