@@ -154,7 +154,9 @@ def flatten(df: DataFrame, combine: dict[str, Column] | None = None, split_colum
     parts = {c: F.sum(F.col(c) * share) for c in split_columns if c in df.columns}
     if "probes" in parts:
         parts["probes"] = F.sum(F.bround(F.col("probes") * share))
-    return pairs.groupBy(F.col("r_chromosome").alias("chromosome"), F.col("r_start").alias("p_start"), F.col("r_end").alias("p_end")).agg(*[v.alias(k) for k, v in (parts | (combine or {})).items()]).withColumnsRenamed({"p_start": "start", "p_end": "end"})
+    found = pairs.groupBy(F.col("r_chromosome").alias("chromosome"), F.col("r_start").alias("p_start"), F.col("r_end").alias("p_end"))
+    found = found.agg(F.count("*").alias("__n"), *[v.alias(k) for k, v in (parts | (combine or {})).items()]).drop("__n")
+    return found.withColumnsRenamed({"p_start": "start", "p_end": "end"})
 
 
 def subdivide(df: DataFrame, avg_size: int, min_size: int = 0) -> DataFrame:
