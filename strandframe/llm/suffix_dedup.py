@@ -101,9 +101,17 @@ def common_prefixes(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndar
 
 def settle(key, doc, start, count, size, body: bytes) -> np.ndarray:
     """Which windows of a bucket's chunks also start in a document of smaller id."""
-    gone = np.zeros(int(count.sum()), bool)
+    ends = np.cumsum(size)
+    # copies of a chunk of an earlier document need no sorting: all their windows go
+    cut, first = [body[e - s : e] for e, s in zip(ends.tolist(), size.tolist(), strict=True)], {}
+    ids = doc.tolist()
+    for i in np.argsort(doc, kind="stable").tolist():
+        first.setdefault(cut[i], ids[i])
+    copy = np.array([d > first[c] for c, d in zip(cut, ids, strict=True)], bool)
+    gone = np.repeat(copy, count)
     order = np.argsort(key, kind="stable")
-    total, ends = np.cumsum(size[order]), np.cumsum(size)
+    order = order[~copy[order]]
+    total = np.cumsum(size[order])
     first_window, text = np.cumsum(count) - count, np.frombuffer(body, np.uint8)
     lo = 0
     while lo < len(order):
