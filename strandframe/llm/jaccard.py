@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ SHINGLE, PERCENT = 3, 90
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 #: Counters of a sketch; rounds of stars between components; members of a block of compared sketches.
 SKETCH, STARS, BLOCK = 128, 3, 2048
+#: Entries of blocks a worker gathers before it sends them on; entries of rows multiplied at once (one cell at least).
+FLUSH, CELL_ENTRIES = 250_000, 250_000
 
 
 def shingle_sets(texts: Texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -175,11 +178,14 @@ def block_groups(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFra
                 keys.append(k)
                 names.append(v)
                 held += len(k)
-                if held >= packed.FLUSH:
-                    yield from packed.dealt(np.concatenate(keys), [np.concatenate(keys), np.concatenate(names)], buckets)
+                if held >= FLUSH:
+                    key, of = np.concatenate(keys), np.concatenate(names)
                     keys, names, held, seen = [], [], 0, np.zeros(0, np.uint64)
+                    yield from packed.dealt(key, [key, of], buckets)
         if held:
-            yield from packed.dealt(np.concatenate(keys), [np.concatenate(keys), np.concatenate(names)], buckets)
+            key, of = np.concatenate(keys), np.concatenate(names)
+            yield from packed.dealt(key, [key, of], buckets)
+        packed.give_back()
 
     def meet(group: pa.Table) -> pa.Table:
         key, name = packed.column(group, 0, np.uint64), packed.column(group, 1, np.uint64)
@@ -231,8 +237,10 @@ def overlap_links(docs: DataFrame, cells: DataFrame, n: int, percent: int) -> Da
 
     def multiply(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
+            entries = np.cumsum(sum(np.asarray(pc.binary_length(batch.column(c)), np.int64) // 8 for c in (2, 3)))
+            run = np.flatnonzero(np.diff(entries // CELL_ENTRIES, prepend=-1))
+            for lo, hi in zip(run.tolist(), np.append(run, len(batch))[1:].tolist(), strict=True):
+                part = batch.slice(lo, hi - lo)
                 left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
                 na, nb = np.array([len(x) // 8 for x in left]), np.array([len(x) // 8 for x in right])
                 cell = np.arange(len(part))
@@ -245,6 +253,7 @@ def overlap_links(docs: DataFrame, cells: DataFrame, n: int, percent: int) -> Da
                 overlap = np.bincount(of[1:][twin], minlength=len(part))
                 ok = overlap * 100 >= percent * (na + nb - overlap)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["a", "b"])
+        packed.give_back()
 
     return both.mapInArrow(multiply, "a long, b long")
 
@@ -272,7 +281,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     if not sets.groupBy("name").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("name IS NOT NULL AND lo <> hi").isEmpty():
         raise RuntimeError("two shingle sets share a name: change the salt")
     shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    groups = table(block_groups(slim, n, percent, packed.n_buckets(shingles * 2 * (100 - percent) // 90, 16)), "jaccard-groups")
+    buckets = 2 * packed.n_buckets(shingles * 2 * (100 - percent) // 90, 16)  # half-size buckets: meet() holds several copies of one
+    groups = table(block_groups(slim, n, percent, buckets), "jaccard-groups")
     star = groups.select(F.col("members")[0].alias("hub"), F.explode(F.slice("members", F.lit(2), F.size("members") - 1)).alias("other"))
     star = table(star.select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b")).distinct(), "jaccard-cells")
     links = table(overlap_links(slim, star, n, percent), "jaccard-links")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,14 @@ def n_buckets(entries: int, width: int) -> int:
     return max(16, -(-entries * width // BUCKET_BYTES))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept between tasks, and with them what they once held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def schema(columns: int) -> str:
     return "bucket int, " + ", ".join(f"c{i} binary" for i in range(columns))
 
