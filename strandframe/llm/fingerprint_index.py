@@ -99,6 +99,7 @@ class FingerprintIndex:
             entries = entries.unionByName(old.select(F.lit(1).alias("age"), "bucket", F.col("a").alias("key"), none.alias("doc"), none.alias("start"), F.col("b").alias("count"), F.col("c").alias("body")))
 
         def merge(group: pa.Table) -> pa.Table:
+            packed.give_back()  # what the bucket before held
             bucket = group["bucket"][0].as_py()
             age = np.array(group["age"].to_pylist())
             new, history = group.filter(pa.array(age == 0)), group.filter(pa.array(age == 1))
@@ -164,7 +165,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(repeats.NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
-    index = FingerprintIndex(spark, repeats.buckets_of(slim))
+    index = FingerprintIndex(spark, repeats.buckets_of(slim, each=2 << 20))
     cuts = sorted({int(c) for c in (slim.filter(F.col("id") != repeats.NO_ID).approxQuantile("id", list(parts), 0.01) if parts else [])})
     windows, low = None, None
     for high in [*cuts, None]:
@@ -190,5 +191,6 @@ def op6_fingerprint_index(spark, sf_dir: str) -> DataFrame:
                 kept += words[at:]
                 rows.append((None if doc == repeats.NO_ID else doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.string()) for i in range(4)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        packed.give_back()
 
     return docs.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")

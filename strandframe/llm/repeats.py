@@ -284,11 +284,13 @@ def chunk_entries(docs: DataFrame, u: Units, body: Callable[[Texts, np.ndarray,
                 content = span_hashes(values, c.start, c.start + c.count + (u.window - 1), WORD_BASE)
                 parts.append((c.key, ids[t.first + c.row], c.start - offsets[c.row], c.count, content, size, blob))
                 held += len(blob)
-                if held >= 8 << 20:
+                if held >= 4 << 20:
                     yield from flush(parts)
                     parts, held = [], 0
         if parts:
             yield from flush(parts)
+        parts = []
+        packed.give_back()
 
     return docs.mapInArrow(scan, CHUNK_SCHEMA)
 
