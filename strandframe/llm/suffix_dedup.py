@@ -147,7 +147,7 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(id, text, spans): every document with the byte spans to remove, null for none."""
     u = repeats.Units(WINDOW, GRAM, words=False, within=False)
     slim = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(repeats.NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
-    n = repeats.buckets_of(slim)
+    n = repeats.buckets_of(slim, each=2 << 20)
     found = repeats.packed.by_bucket(repeats.anchor_entries(slim, u, n), lambda g: repeats.repeated(g, n), repeats.packed.schema(2))
     flags = table(repeats.flagged_docs(found), "suffix-flags")
     chunks = repeats.chunk_entries(repeats.flagged_texts(slim, flags), u, _bodies, n)
