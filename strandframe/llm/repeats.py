@@ -115,6 +115,11 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column(0).fill_null(NO_ID), np.int64)
 
 
+def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of anchor hashes. They are least ones, which crowd at the low end, so they are mixed first."""
+    return (((mix(key) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
 def _runs(bucket: np.ndarray) -> list[tuple[int, int]]:
     """(from, to) of the runs of equal numbers."""
     at = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
@@ -143,7 +148,7 @@ def anchor_entries(docs: DataFrame, u: Units, n: int) -> DataFrame:
             c0.append(k.tobytes())
             c1.append(np.diff(d, prepend=0).tobytes())
         keys, doc = keys[starts], doc[starts]
-        bucket = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # keys are sorted, so these are
+        bucket = bucket_of(keys, n)
         order = np.lexsort((doc, bucket))
         keys, doc, bucket = keys[order], doc[order], bucket[order]
         for lo, hi in _runs(bucket):
@@ -256,12 +261,13 @@ def chunk_entries(docs: DataFrame, u: Units, body: Callable[[Texts, np.ndarray,
         for bucket, (d, s, c) in to_docs(doc[gone], [start[gone], count[gone]], n):
             rows.append(_chunk_row(-1 - bucket, d[:0], d, s, c, b"", s[:0]))
         stay = np.flatnonzero(~gone)
-        bucket = (((key[stay] >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
-        order = stay[np.argsort(bucket, kind="stable")]
-        for lo, hi in _runs(np.sort(bucket)):
+        bucket = bucket_of(key[stay], n)
+        by = np.argsort(bucket, kind="stable")
+        order, bucket = stay[by], bucket[by]
+        for lo, hi in _runs(bucket):
             w = order[lo:hi]
             text = b"".join([blob[a:b] for a, b in zip((ends[w] - size[w]).tolist(), ends[w].tolist(), strict=True)])
-            rows.append(_chunk_row(int(((key[w[0]] >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)), key[w], doc[w], start[w], count[w], text, size[w]))
+            rows.append(_chunk_row(int(bucket[lo]), key[w], doc[w], start[w], count[w], text, size[w]))
         yield _chunk_batch(rows)
 
     def scan(batches):
