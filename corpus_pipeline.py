@@ -22,9 +22,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.filter("n_dropped = 0 OR n_dropped < n_lines AND length(trim(text)) > 0").select(docs.columns)
 
 
+#: Words of a shingle and percent of Jaccard similarity from which documents are near duplicates; op10's own values are stricter.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each component of n-gram Jaccard links."""
-    found = jaccard.components(docs)
+    found = jaccard.components(docs, n=NEAR_SHINGLE, percent=NEAR_PERCENT)
     copies = table(found.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
     return docs.join(small(copies), "doc_id", "left_anti").select(docs.columns)
 
