@@ -40,7 +40,7 @@ QUERIES |= {
     "kn_bintest": lambda s, d: sg.bintest(bins(s, d), segs(s, d), 0.05),
     "wf_reference": _reference,
     "wf_targets": lambda s, d: wf.targets(bins(s, d)),
-    "wf_antitargets": lambda s, d: wf.antitargets(bins(s, d).filter("chromosome = 'chr1'"), segs(s, d).filter("chromosome = 'chr1'"), 10_000, 500),
+    "wf_antitargets": lambda s, d: wf.antitargets(bins(s, d), segs(s, d), 10_000, 500),
     "wf_fix": lambda s, d: wf.fix(bins(s, d), _reference(s, d)),
 }
 
