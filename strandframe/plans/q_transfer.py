@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.chrom import is_autosome
 from ..operators import filters
 from ..operators import transfer as tr
 from .adapters import bins, duck, segs
@@ -30,7 +31,8 @@ FROM put LEFT JOIN named USING (seg_id) LEFT JOIN summed USING (seg_id)"""
 
 
 def import_theta(spark, d):
-    theta = spark.range(4000).select(F.col("id").alias("row"), F.explode(F.array(F.lit(0), F.lit(1))).alias("solution"))
+    rows = tr.positions(segs(spark, d).filter(is_autosome(F.col("chromosome"))))
+    theta = rows.select("row", F.explode(F.array(F.lit(0), F.lit(1))).alias("solution"))
     theta = theta.withColumn("copies", F.when(F.col("row") % 7 != 0, (F.col("row") + F.col("solution")) % 5))
     out = tr.import_theta(segs(spark, d), theta)
     return out.select("solution", "chromosome", "start", "end", "seg_id", "cn", F.round("log2", 6).alias("log2"))
