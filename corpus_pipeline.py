@@ -10,8 +10,10 @@ from strandframe.llm.common import small, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted of unshared lines."""
-    return quality.judged(docs).filter("kept").select(docs.columns)
+    """Documents that pass the base rules, without the boilerplate that an earlier document keeps; those depleted by that go."""
+    kept = quality.judged(docs, places=True).filter("kept")
+    kept = kept.withColumn("text", quality.cleaned_text(F.col("text"), F.col("lost_lines"))).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

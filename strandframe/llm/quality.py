@@ -72,12 +72,12 @@ def base_metrics(text: Column, w: Column) -> dict[str, Column]:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """(id, row, host, line, n): hashes of the distinct normalised lines of each text, with their words in it."""
+    """(id, row, host, line, n, pos): hashes of the normalised lines of each text that have words, with their number of words and place in it."""
     t = F.col(f"`{text}`")
-    base = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(t).alias("row"), F.xxhash64(F.col(f"`{host}`")).alias("host"), F.explode(F.split(t, "\n")).alias("line"))
+    base = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(t).alias("row"), F.xxhash64(F.col(f"`{host}`")).alias("host"), F.posexplode(F.split(t, "\n")).alias("pos", "line"))
     base = base.withColumn("n", F.size(words(F.col("line")))).filter("n > 0")
     norm = F.regexp_replace(F.regexp_replace(ascii_lower(F.btrim("line", F.lit(SPACES))), "[0-9]", "0"), SPACE, " ")
-    return base.select("id", "row", "host", F.xxhash64(norm).alias("line"), "n")
+    return base.select("id", "row", "host", F.xxhash64(norm).alias("line"), "n", "pos")
 
 
 def boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE) -> DataFrame:
@@ -88,18 +88,25 @@ def boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     return found.filter(F.col("n_docs") > F.col("of") * limit_share).select("host", "line", "keeper")
 
 
-def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE) -> DataFrame:
-    """docs with the base metrics, base_failed, n_lost (words in removed lines) and kept."""
+def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE, places: bool = False) -> DataFrame:
+    """docs with the base metrics, base_failed, n_lost (words in removed lines) and kept; with places also lost_lines, the removed lines' places (null: none)."""
     limits = small(table(boilerplate(docs, doc_id, text, host, limit_docs, limit_share), "quality-lines"))
     hit = _lines(docs, doc_id, text, host).join(limits, ["host", "line"]).filter(F.col("id") != F.col("keeper"))
-    lost = small(table(hit.groupBy("id", "row", "host").agg(F.sum("n").alias("lost")), "quality-lost")).select(*[F.col(c).alias(f"__{c}") for c in ("id", "row", "host", "lost")])
+    lost = small(table(hit.groupBy("id", "row", "host").agg(F.sum("n").alias("lost"), *([F.collect_set("pos").alias("at")] if places else [])), "quality-lost"))
+    lost = lost.select(*[F.col(c).alias(f"__{c}") for c in lost.columns])
     mine = [F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_NO_ID)) == F.col("__id"), F.xxhash64(F.col(f"`{text}`")) == F.col("__row"), F.xxhash64(F.col(f"`{host}`")) == F.col("__host")]
     metrics = base_metrics(F.col(f"`{text}`"), F.col("__words"))
     out = with_columns(docs.withColumn("__words", words(F.col(f"`{text}`"))), metrics).drop("__words").join(lost, mine, "left")
     n, gone = F.col("n_words"), F.coalesce(F.col("__lost"), F.lit(0)).cast("long")
     failed = (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT)
     depleted = (gone > 0) & ((n - gone < left_words) | (n - gone < n * left_share))
-    return with_columns(out, {"base_failed": failed, "n_lost": gone, "kept": ~failed & ~depleted}).drop("__id", "__row", "__host", "__lost")
+    return with_columns(out, {"base_failed": failed, "n_lost": gone, "kept": ~failed & ~depleted} | ({"lost_lines": F.col("__at")} if places else {})).drop(*lost.columns)
+
+
+def cleaned_text(text: Column, lost_lines: Column) -> Column:
+    """The text without the lines at the places that judged() found."""
+    left = lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), lost_lines), lambda i: F.get(a, i)), "\n")
+    return F.when(lost_lines.isNull(), text).otherwise(let(F.split(text, "\n"), left))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
