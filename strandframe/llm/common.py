@@ -13,8 +13,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: The characters of SPACE.
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows that may be broadcast; a table with more is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes that may be broadcast; a table with more is joined by a shuffle.
+BROADCAST_BYTES = 48 << 20
 
 
 def words(text: Column) -> Column:
@@ -28,9 +28,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="strandframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,12 +43,37 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, an already written table, marked for broadcast if it has at most so many rows; else Spark shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what table() wrote, once nothing reads it any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes that a row of df takes once it is broadcast."""
+    wide = {"string": F.octet_length, "binary": F.octet_length}
+    each = [F.lit(32 + 16 * len(df.columns))]
+    for c, kind in df.dtypes:
+        if kind in wide:
+            each.append(F.coalesce(wide[kind](F.col(f"`{c}`")), F.lit(0)))
+        elif kind.startswith("array"):
+            each.append(F.greatest(F.size(F.col(f"`{c}`")), F.lit(0)) * 16)
+    total = each[0].cast("long")
+    for e in each[1:]:
+        total = total + e
+    return total
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, an already written table, marked for broadcast if its rows take at most so many bytes; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(_bytes(df))).first()[0] or 0) <= most else df
 
 
 def with_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:

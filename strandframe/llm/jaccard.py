@@ -1,21 +1,23 @@
-"""N-gram Jaccard join as a blocked sparse product.
+"""N-gram Jaccard join as a blocked sparse product over rare-first prefix columns.
 
 Rows of the incidence matrix are distinct shingle sets: documents of equal sets are one row,
-named by a hash of the set, so exact copies never meet as pairs. Columns (hashed shingles)
-are grouped in blocks, so many for a size class that two sets at the threshold
-differ in fewer blocks than there are: |A ^ B| <= (1 - t) / (1 + t) * (|A| + |B|). One block at least is
-equal, so rows whose hashes of a block agree are the product's candidate cells, and a frequent
-shingle, line or passage alone brings no cell, as it would in the plain product. Cells are
-accumulated per block group as a star around its best connected row, and multiplied out exactly (overlap
-counts of whole rows, in blocks of pairs), after the size bound. Links become components. Groups that
-still span components get further stars between them; what is then left apart is compared in blocks by sketches (counts of
-hashed shingles: their L1 distance is at most the sets' difference), and the pairs that these don't rule
-out are multiplied out, so no link between different components is lost.
-
-Empty blocks are not hashed; one spare block per class makes up for them. Links, components and
-sets stay distributed. Defined cases: null text and texts without words have empty sets and link with nothing; texts of
-one or two words are one shingle; rows with the same doc_id are documents of that id; null doc_id
-names no component; an empty table gives an empty result; other columns are not looked at.
+named by 128 bits of hashes of the set, so exact copies never meet as pairs. Columns (hashed shingles) have one
+order for all rows, rare ones first, by a table of SLOTS counts that has the same size for any corpus. A row of
+size s enters the product with its first s - ceil(t * s) + COMMON columns: two sets at the threshold t share
+at least COMMON of those, whatever the order is. Columns are dealt to blocks; each
+block multiplies its part of the matrix, drops pairs beyond the size bound, and the counts of shared columns of a
+pair are accumulated over the blocks. Pairs with fewer than COMMON are dropped; the others are counted exactly, over whole rows.
+
+A column of more than COOL rows is hot: its product would grow with the square of its rows. Its rows are one group
+instead (by classes of size). Links are found towards a hub of the group, then, for groups that
+still span components, towards hubs of their largest components; what is still apart is compared in blocks of rows by
+sketches (counts of hashed shingles: their L1 distance is at most the sets' difference), and the
+pairs that these don't rule out are counted exactly. So no link between different components is lost, in hot
+columns or others, at any size of set. Links within a component are not all found, and none are returned.
+
+Links, components and sets stay distributed. Defined cases: null text and texts without words have empty sets and
+link with nothing; texts of fewer words than a shingle are one shingle; rows with the same doc_id are documents of that id;
+null doc_id names no component; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
@@ -32,9 +34,11 @@ from .ragged import ASCII_LOWER, IS_SPACE, Texts, grams, mix, pieces, span_hashe
 
 SHINGLE, PERCENT = 3, 90
 _SALT = np.uint64(0x2545F4914F6CDD1D)
-#: Counters of a sketch; rounds of stars between components; members of a block of compared sketches.
+#: Prefix columns that linked sets share; rows from which on a column is hot; slots of the table that orders columns.
+COMMON, COOL, SLOTS = 3, 12, 1 << 17
+#: Counters of a sketch; rounds of stars between components; rows of a block of compared sketches.
 SKETCH, STARS, BLOCK = 128, 3, 2048
-#: Entries of blocks a worker gathers before it sends them on; entries of rows multiplied at once (one cell at least).
+#: Entries of columns a worker gathers before it sends them on; entries of rows counted at once (one cell at least).
 FLUSH, CELL_ENTRIES = 250_000, 250_000
 
 
@@ -56,182 +60,224 @@ def shingle_sets(texts: Texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
 
 
 def named_sets(texts: Texts, n: int = SHINGLE):
-    """(row, size, name, check) of the texts with a set, and its bounds in the (row, hash) arrays that follow."""
+    """(row, size, name) of the texts with a set, and the sets' hashes one after the other. A name is two numbers."""
     rows, hashes = shingle_sets(texts, n)
     starts = np.flatnonzero(np.diff(rows, prepend=-1))
     if not len(starts):
-        none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), none, none, starts, rows, hashes
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), hashes
     size = np.diff(np.append(starts, len(rows)))
-    name = mix(np.add.reduceat(mix(hashes), starts) ^ size.astype(np.uint64))
-    check = np.add.reduceat(mix(hashes ^ _SALT), starts)
-    return rows[starts], size, name, check, starts, rows, hashes
+    high = mix(np.add.reduceat(mix(hashes), starts) ^ size.astype(np.uint64))
+    low = mix(np.add.reduceat(mix(hashes ^ _SALT), starts))
+    return rows[starts], size, np.stack((high, low), 1), hashes
 
 
-def size_classes(most: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(first sizes of the classes, blocks of each class): sets at the threshold are at most one class apart."""
-    first = [1]
-    while first[-1] <= most:
-        first.append(first[-1] * 100 // percent + 1)
-    first = np.array([*first, first[-1] * 100 // percent + 1, 0])[:-1]
-    last = np.append(first[1:] - 1, first[-1] * 100 // percent)
-    apart = (100 - percent) * 2 * last // (100 + percent)
-    return first, np.where(apart > 0, apart + 2, 0)
-
-
-def block_hashes(size, name, starts, hashes, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of a block, name of the set) of all sets, in their own class and the next."""
-    if not len(size):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    first, blocks = size_classes(int(size.max()), percent)
-    own = np.searchsorted(first, size, "right") - 1
-    values, out = mix(hashes), []
-    for step in (0, 1):
-        level = own + step
-        m = np.repeat(blocks[level], size).astype(np.uint64)
-        block = ((hashes >> np.uint64(32)) * m) >> np.uint64(32)
-        new = np.ones(len(hashes), bool)
-        new[1:] = block[1:] != block[:-1]
-        new[starts] = True
-        at = np.flatnonzero(new)
-        total, owner = np.add.reduceat(values, at), np.repeat(np.arange(len(size)), size)[at]
-        some = m[at] > 0
-        key = mix(mix(total) ^ mix(block[at] + np.uint64(1 << 40) * level[owner].astype(np.uint64)))
-        out.append((key[some], name[owner][some]))
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+def blobs(name: np.ndarray) -> pa.Array:
+    """Names as 16 bytes each, which order as the numbers do."""
+    offsets = np.arange(len(name) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(name), [None, pa.py_buffer(offsets), pa.py_buffer(name.astype(">u8").tobytes())])
+
+
+def _cut_sets(which: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> list[bytes]:
+    blob, at = hashes.tobytes(), np.concatenate(([0], np.cumsum(size))) * 8
+    return [blob[at[i] : at[i + 1]] for i in which.tolist()]
+
+
+def _numbered(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct names in order, number of each name among them)."""
+    order = np.lexsort((name[:, 1], name[:, 0]))
+    some = name[order]
+    new = np.ones(len(some), bool)
+    new[1:] = (some[1:] != some[:-1]).any(1)
+    number = np.empty(len(name), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return some[new], number
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, name, check) of every document; name null where the set is empty."""
+    """(doc_id, n_shingles, name, counts) of every document, name null where the set is empty; and one row a task with only counts: shingles by slot."""
 
     def scan(batches):
+        counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            sizes = np.zeros(len(batch), np.int64)
-            names, checks = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64)
+            sizes, names = np.zeros(len(batch), np.int64), np.zeros((len(batch), 2), np.uint64)
             for t in pieces(batch.column(1)):
-                row, size, name, check, *_ = named_sets(t, n)
-                sizes[t.first + row], names[t.first + row], checks[t.first + row] = size, name, check
-            none = sizes == 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(names.view(np.int64), mask=none), pa.array(checks.view(np.int64), mask=none)], names=["doc_id", "n_shingles", "name", "check"])
+                row, size, name, hashes = named_sets(t, n)
+                sizes[t.first + row], names[t.first + row] = size, name
+                counts += np.bincount((hashes >> np.uint64(40)).astype(np.int64) % SLOTS, minlength=SLOTS)
+            name = pc.if_else(pa.array(sizes > 0), blobs(names), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), name, pa.nulls(len(batch), pa.binary())], names=["doc_id", "n_shingles", "name", "counts"])
+        if counts.any():
+            blob = np.minimum(counts, 2**31 - 1).astype(np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names=["doc_id", "n_shingles", "name", "counts"])
 
-    return docs.mapInArrow(scan, "doc_id long, n_shingles long, name long, check long")
+    return docs.mapInArrow(scan, "doc_id long, n_shingles long, name binary, counts binary")
 
 
-def sketches_of(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
-    """(name, size, sketch) of the named sets: how many shingles fall to each of SKETCH counters."""
+def column_ranks(sets: DataFrame) -> np.ndarray:
+    """The place in the columns' order of each slot, as a byte. Counts are summed where they lie, then in one short task."""
 
-    def scan(batches):
+    def add(batches):
+        total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for t in pieces(batch.column(1)):
-                _, size, name, _, _, rows, hashes = named_sets(t, n)
-                owner = np.repeat(np.arange(len(size)), size)
-                slot = (hashes >> np.uint64(40)).astype(np.int64) % SKETCH
-                counts = np.bincount(owner * SKETCH + slot, minlength=len(size) * SKETCH).astype(np.int32).reshape(-1, SKETCH)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(size), pa.array([c.tobytes() for c in counts], pa.binary())], names=["name", "size", "sketch"])
+            for blob in batch.column(0):
+                total += np.frombuffer(blob.as_py(), np.int32 if len(blob.as_py()) == SLOTS * 4 else np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-    found = docs.mapInArrow(scan, "name long, size long, sketch binary").join(names, "name")
-    return found.groupBy("name").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    partial = sets.filter("counts IS NOT NULL").select("counts").mapInArrow(add, "counts binary")
+    total = np.frombuffer(partial.repartition(1).mapInArrow(add, "counts binary").collect()[0][0], np.int64)
+    return np.minimum(4 * np.log2(1 + total), 255).astype(np.uint8)
 
 
-def near_cells(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): of members (g, name, root, size, sketch), pairs of a group and different roots whose sketches allow a link.
+def common_columns(percent: int) -> int:
+    """Prefix columns that two different linked sets share at least: COMMON, or fewer where small sets can link with fewer."""
+    return COMMON if percent >= 100 else max(1, min(COMMON, -(-percent // (100 - percent))))
 
-    Groups are compared in blocks of about BLOCK members by BLOCK; only pairs that pass are emitted.
-    """
-    n_blocks = F.ceil(F.count("*").over(Window.partitionBy("g")) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("name"), F.col("of")).cast("int")
-    parts = members.withColumn("of", n_blocks).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
-    parts = parts.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        name, root, size, own = (np.asarray(table[c]) for c in ("name", "root", "size", "own"))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.int32).reshape(-1, SKETCH)
-        out = []
-        right = np.flatnonzero(own == j)
-        for k in np.flatnonzero(own == i).tolist():
-            near = right[(root[right] != root[k]) & ((name[right] > name[k]) if i == j else (name[right] != name[k]))]
-            total = size[near] + size[k]
-            apart = np.abs(sketch[near] - sketch[k]).sum(1)
-            near = near[apart * (100 + percent) <= (100 - percent) * total]
-            out.append(np.stack((np.minimum(name[near], name[k]), np.maximum(name[near], name[k])), 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return parts.select("g", "name", "root", "size", "sketch", "own", "i", "j").groupBy("g", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+def prefix_entries(size: np.ndarray, hashes: np.ndarray, ranks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, column) of the sets' prefixes."""
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(owner << 8 | ranks[(hashes >> np.uint64(40)).astype(np.int64) % SLOTS], kind="stable")  # within a rank by hash
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    kept = nth < np.repeat(size + (-size * percent) // 100 + common_columns(percent), size)
+    return owner[kept], hashes[order][kept]
 
 
-def block_groups(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """(members): names of sets with an equal block, the best connected first; each group of members once a bucket."""
+def size_class(size: np.ndarray, percent: int) -> np.ndarray:
+    """Classes of size: sets that link are at most one class apart."""
+    first, most = [1], int(size.max(initial=1))
+    while first[-1] <= most:
+        first.append(first[-1] * 100 // percent + 1)
+    return np.searchsorted(np.array(first), size, "right") - 1
+
+
+def _hot_rows(column: np.ndarray, name: np.ndarray, size: np.ndarray, percent: int) -> pa.Table:
+    """Members (g, a) of the groups of hot columns: each row in its own class of size and the next."""
+    level = size_class(size, percent).astype(np.uint64)
+    group = np.concatenate([mix(column ^ mix(level + np.uint64(step))) for step in (1, 2)])
+    n = len(group)
+    return pa.table({"g": group.view(np.int64), "a": blobs(np.concatenate((name, name))), "b": pa.nulls(n, pa.binary()), "n": pa.nulls(n, pa.int32())})
+
+
+def column_entries(docs: DataFrame, n: int, percent: int, ranks: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, c0: columns, c1: names, c2: sizes): prefix entries dealt by column. Columns found hot within a flush stay where
+    they lie, in bucket -1, and leave one entry of size 0 in their bucket as a mark."""
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def flush(column, name, size):
+        order = np.argsort(column, kind="stable")
+        column, name, size = column[order], name[order], size[order]
+        starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
+        many = np.diff(np.append(starts, len(column)))
+        hot = np.repeat(many > COOL, many)
+        if hot.any():
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([x[hot].tobytes()], pa.binary()) for x in (column, name, size)]], names=["bucket", "c0", "c1", "c2"])
+            marks = starts[many > COOL]
+            size = size.copy()
+            size[marks] = 0
+            hot[marks] = False
+        yield from packed.dealt(column[~hot], [column[~hot], name[~hot], size[~hot]], buckets)
 
     def scan(batches):
-        keys, names, held, seen = [], [], 0, np.zeros(0, np.uint64)
+        columns, names, sizes, held, seen = [], [], [], 0, set()
         for batch in batches:
             for t in pieces(batch.column(1)):
-                _, size, name, _, starts, _, hashes = named_sets(t, n)
-                fresh = np.zeros(len(name), bool)
-                fresh[np.unique(name, return_index=True)[1]] = True
-                fresh &= ~np.isin(name, seen)  # copies in this flush are sent once
-                seen = np.concatenate((seen, name[fresh]))
-                k, v = block_hashes(size[fresh], name[fresh], np.cumsum(size[fresh]) - size[fresh], hashes[np.repeat(fresh, size)], percent)
-                keys.append(k)
-                names.append(v)
-                held += len(k)
+                _, size, name, hashes = named_sets(t, n)
+                keys, fresh = name[:, 0].tolist(), np.zeros(len(name), bool)
+                for i, k in enumerate(zip(keys, name[:, 1].tolist(), strict=True)):  # copies in this flush are sent once
+                    fresh[i] = k not in seen
+                    seen.add(k)
+                owner, column = prefix_entries(size[fresh], hashes[np.repeat(fresh, size)], sent.value, percent)
+                columns.append(column)
+                names.append(name[fresh][owner])
+                sizes.append(size[fresh][owner].astype(np.uint32))
+                held += len(column)
                 if held >= FLUSH:
-                    key, of = np.concatenate(keys), np.concatenate(names)
-                    keys, names, held, seen = [], [], 0, np.zeros(0, np.uint64)
-                    yield from packed.dealt(key, [key, of], buckets)
+                    yield from flush(*map(np.concatenate, (columns, names, sizes)))
+                    columns, names, sizes, held, seen = [], [], [], 0, set()
         if held:
-            key, of = np.concatenate(keys), np.concatenate(names)
-            yield from packed.dealt(key, [key, of], buckets)
+            yield from flush(*map(np.concatenate, (columns, names, sizes)))
         packed.give_back()
 
-    def meet(group: pa.Table) -> pa.Table:
-        key, name = packed.column(group, 0, np.uint64), packed.column(group, 1, np.uint64)
-        order = np.lexsort((name, key))
-        key, name = key[order], name[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name = key[new], name[new]
-        starts = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
-        size = np.diff(np.append(starts, len(key)))
-        shared = np.repeat(size > 1, size)
-        name, size = name[shared], size[size > 1]
-        if not len(size):
-            return pa.table({"members": pa.array([], pa.list_(pa.int64()))})
-        starts = np.cumsum(size) - size
-        same = np.add.reduceat(mix(name), starts)  # groups of the same members once
-        keep = np.zeros(len(size), bool)
-        keep[np.unique(same, return_index=True)[1]] = True
-        degree = np.unique(name, return_inverse=True)[1]
-        degree = np.bincount(degree, weights=np.repeat(size, size))[degree]
-        order = np.lexsort((name, -degree, np.repeat(np.arange(len(size)), size)))
-        name = name[order][np.repeat(keep, size)]
-        offsets = np.concatenate(([0], np.cumsum(size[keep])))
-        return pa.table({"members": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(name.view(np.int64)))})
-
-    return packed.by_bucket(docs.mapInArrow(scan, packed.schema(2)), meet, "members array<long>")
-
-
-def overlap_links(docs: DataFrame, cells: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those (a, b) of the written table cells whose sets are similar enough, by exact overlap counts."""
-    wanted = small(table(cells.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "jaccard-wanted"))
+    return docs.mapInArrow(scan, packed.schema(3))
+
+
+CELLS = "g long, a binary, b binary, n int"
+
+
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return packed.column(table, 0, np.uint64), packed.column(table, 1, np.uint64).reshape(-1, 2), packed.column(table, 2, np.uint32).astype(np.int64)
+
+
+def multiplied(group: pa.Table, percent: int) -> pa.Table:
+    """The product of one block of columns: pairs (a, b) and the number n of columns of the block that they share; members of hot columns as (g, a)."""
+    column, name, size = _entries(group)
+    order = np.lexsort((name[:, 1], name[:, 0], column))
+    column, name, size = column[order], name[order], size[order]
+    head = np.ones(len(column), bool)
+    head[1:] = column[1:] != column[:-1]
+    of = np.cumsum(head) - 1
+    marked = np.bincount(of, weights=size == 0) > 0
+    # a mark took the size of its row: the row itself lies with the hot ones
+    new = np.concatenate(([True], head[1:] | (name[1:] != name[:-1]).any(1))) & (size > 0)
+    column, name, size, of = column[new], name[new], size[new], of[new]
+    hot = marked | (np.bincount(of, minlength=len(marked)) > COOL)
+    out = [_hot_rows(column[hot[of]], name[hot[of]], size[hot[of]], percent)]
+    cool = ~hot[of]
+    name, size, of = name[cool], size[cool], of[cool]
+    distinct, number = _numbered(name)
+    left, right = [], []
+    for step in range(1, COOL):
+        i = np.flatnonzero(of[step:] == of[:-step]) if len(of) > step else np.zeros(0, np.int64)
+        i = i[np.minimum(size[i], size[i + step]) * 100 >= np.maximum(size[i], size[i + step]) * percent]
+        left.append(number[i])
+        right.append(number[i + step])
+    pair, shared = np.unique(np.concatenate(left) * len(distinct) + np.concatenate(right), return_counts=True)
+    a, b = np.divmod(pair, max(len(distinct), 1))
+    out.append(pa.table({"g": pa.nulls(len(pair), pa.int64()), "a": blobs(distinct[a]), "b": blobs(distinct[b]), "n": shared.astype(np.int32)}))
+    packed.give_back()
+    return pa.concat_tables(out)
+
+
+def product(docs: DataFrame, n: int, percent: int, ranks: np.ndarray, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b, n) of cool columns with enough shared ones, members (g, name) of the groups of hot columns)."""
+    entries = table(column_entries(docs, n, percent, ranks, buckets), "jaccard-entries")
+
+    def spread(batches):
+        for batch in batches:
+            for row in range(len(batch)):
+                yield from _hot_rows(*_entries(pa.Table.from_batches([batch.slice(row, 1)])), percent).to_batches()
+
+    cells = table(packed.by_bucket(entries.filter("bucket >= 0"), lambda g: multiplied(g, percent), CELLS), "jaccard-product")
+    near = entries.filter("bucket < 0").mapInArrow(spread, CELLS)
+    pairs = cells.filter("g IS NULL").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= common_columns(percent))
+    members = cells.filter("g IS NOT NULL").unionByName(near).select("g", F.col("a").alias("name")).distinct()
+    members = table(members, "jaccard-members")
+    # groups of the same members once
+    same = members.groupBy("g").agg(F.sum(F.xxhash64("name").cast("decimal(38,0)")).alias("s"), F.count("*").alias("c")).filter("c > 1")
+    once = same.groupBy("s", "c").agg(F.min("g").alias("g")).select("g")
+    return table(pairs, "jaccard-pairs"), table(members.join(once, "g"), "jaccard-groups")
+
+
+def rows_of(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
+    """(name, row) of the named sets: their hashes, sorted."""
+    wanted = small(table(names, "jaccard-wanted"))
 
     def scan(batches):
         for batch in batches:
             for t in pieces(batch.column(1)):
-                _, size, name, _, _, _, hashes = named_sets(t, n)
-                keep = np.zeros(len(name), bool)
-                keep[np.unique(name, return_index=True)[1]] = True
-                blobs, at = hashes.tobytes(), np.concatenate(([0], np.cumsum(size))) * 8
-                got = np.flatnonzero(keep).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(name[keep].view(np.int64)), pa.array([blobs[at[i] : at[i + 1]] for i in got], pa.binary())], names=["name", "row"])
-
-    rows = docs.mapInArrow(scan, "name long, row binary").join(wanted, "name")
-    rows = table(rows.groupBy("name").agg(F.first("row").alias("row")), "jaccard-rows")
+                _, size, name, hashes = named_sets(t, n)
+                which = np.unique(_numbered(name)[1], return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([blobs(name[which]), pa.array(_cut_sets(which, size, hashes), pa.binary())], names=["name", "row"])
+        packed.give_back()
+
+    found = docs.mapInArrow(scan, "name binary, row binary").join(wanted, "name")
+    return table(found.groupBy("name").agg(F.first("row").alias("row")), "jaccard-rows")
+
+
+def overlap_links(cells: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) of the written table cells whose sets are similar enough, by exact overlap counts."""
     size = F.octet_length("row")
-    both = cells.join(rows.select(F.col("name").alias("a"), F.col("row").alias("ra"), size.alias("na")), "a")
+    both = cells.select("a", "b").join(rows.select(F.col("name").alias("a"), F.col("row").alias("ra"), size.alias("na")), "a")
     both = both.join(rows.select(F.col("name").alias("b"), F.col("row").alias("rb"), size.alias("nb")), "b")
     both = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "ra", "rb")
 
@@ -251,11 +297,55 @@ def overlap_links(docs: DataFrame, cells: DataFrame, n: int, percent: int) -> Da
                 of, value = of[order], value[order]
                 twin = (of[1:] == of[:-1]) & (value[1:] == value[:-1])
                 overlap = np.bincount(of[1:][twin], minlength=len(part))
-                ok = overlap * 100 >= percent * (na + nb - overlap)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["a", "b"])
+                ok = pa.array(overlap * 100 >= percent * (na + nb - overlap))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], names=["a", "b"])
         packed.give_back()
 
-    return both.mapInArrow(multiply, "a long, b long")
+    return both.mapInArrow(multiply, "a binary, b binary")
+
+
+def with_sketches(rows: DataFrame) -> DataFrame:
+    """(name, size, sketch) of rows: how many shingles fall to each of SKETCH counters."""
+
+    def scan(batches):
+        for batch in batches:
+            size = np.asarray(pc.binary_length(batch.column(1)), np.int64) // 8
+            hashes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
+            slot = np.repeat(np.arange(len(size)), size) * SKETCH + (hashes >> np.uint64(40)).astype(np.int64) % SKETCH
+            counts = np.bincount(slot, minlength=len(size) * SKETCH).astype(np.int32).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array([c.tobytes() for c in counts], pa.binary())], names=["name", "size", "sketch"])
+
+    return rows.select("name", "row").mapInArrow(scan, "name binary, size long, sketch binary")
+
+
+def near_cells(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of members (g, name, root, size, sketch), pairs of a group and different roots whose sketches allow a link.
+
+    Groups are compared in blocks of about BLOCK members by BLOCK; only pairs that pass are emitted.
+    """
+    sizes = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of"))
+    parts = members.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("name"), F.col("of")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
+    parts = parts.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        name, (_, root) = table["name"].to_pylist(), np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)
+        size, own = (np.asarray(table[c]) for c in ("size", "own"))
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.int32).reshape(-1, SKETCH)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        right = right[np.argsort(size[right], kind="stable")]
+        out = []
+        for k in left.tolist():
+            lo, hi = np.searchsorted(size[right], (-(-size[k] * percent // 100), size[k] * 100 // percent + 1))
+            near = right[lo:hi]
+            near = near[(root[near] != root[k]) & ((near > k) if i == j else True)]
+            apart = np.abs(sketch[near] - sketch[k]).sum(1)
+            near = near[apart * (100 + percent) <= (100 - percent) * (size[near] + size[k])]
+            out += [(name[k], name[x]) if name[k] < name[x] else (name[x], name[k]) for x in near.tolist()]
+        return pa.table([pa.array([p[c] for p in out], pa.binary()) for c in (0, 1)], names=["a", "b"])
+
+    return parts.select("g", "name", "root", "size", "sketch", "own", "i", "j").groupBy("g", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def connected(links: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -274,39 +364,73 @@ def connected(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not converge")
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document: the smallest doc_id reachable by links."""
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sets = table(sets_of(slim, n), "jaccard-sets")
-    if not sets.groupBy("name").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("name IS NOT NULL AND lo <> hi").isEmpty():
-        raise RuntimeError("two shingle sets share a name: change the salt")
-    shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = 2 * packed.n_buckets(shingles * 2 * (100 - percent) // 90, 16)  # half-size buckets: meet() holds several copies of one
-    groups = table(block_groups(slim, n, percent, buckets), "jaccard-groups")
-    star = groups.select(F.col("members")[0].alias("hub"), F.explode(F.slice("members", F.lit(2), F.size("members") - 1)).alias("other"))
-    star = table(star.select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b")).distinct(), "jaccard-cells")
-    links = table(overlap_links(slim, star, n, percent), "jaccard-links")
-    roots = connected(links)
-    members = groups.withColumn("g", F.xxhash64("members")).dropDuplicates(["g"]).select("g", F.explode("members").alias("name"))
+def joined_by(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (name, root) after further links: only edges between old components are contracted."""
+    if roots is None:
+        return connected(table(links, "jaccard-links"))
+    at = lambda c, d: roots.select(F.col("name").alias(c), F.col("root").alias(d))
+    edges = links.join(at("a", "x"), "a", "left").join(at("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    edges = table(edges.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jaccard-links")
+    if edges.isEmpty():
+        return roots
+    new = connected(edges)
+    moved = roots.join(new.select(F.col("name").alias("root"), F.col("root").alias("to")), "root", "left").select("name", F.coalesce("to", "root").alias("root"))
+    return table(moved.unionByName(new.join(roots.select("name"), "name", "left_anti")), "jaccard-roots")
+
+
+def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(g, name, root) of the groups that span components."""
+    rooted = members.select("g", "name").join(roots, "name", "left").select("g", "name", F.coalesce("root", "name").alias("root"))
+    split = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
+    return table(rooted.join(split, "g"), "jaccard-split")
+
+
+def _cells(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+
+def linked_sets(docs: DataFrame, n: int, percent: int, ranks: np.ndarray, buckets: int) -> DataFrame:
+    """(name, root) of the sets that link with another."""
+    pairs, members = product(docs, n, percent, ranks, buckets)
+    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(members.select("name")).distinct()
+    rows = rows_of(docs, names, n)
+    # first each row with the one that it shares most columns with, and each group with the hub that is in most groups
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    best = both.groupBy("a").agg(F.max(F.struct("n", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+    degree = members.groupBy("name").agg(F.count("*").alias("d"))
+    hubs = members.join(degree, "name").groupBy("g").agg(F.max(F.struct("d", F.xxhash64("name").alias("r"), "name"))["name"].alias("hub"))
+    cells = _cells(best, "a", "b").unionByName(_cells(members.join(hubs, "g"), "hub", "name")).distinct()
+    cells = done = table(cells, "jaccard-cells")
+    roots = joined_by(None, overlap_links(cells, rows, percent))
     for k in range(STARS + 1):
-        apart = members.join(roots, "name", "left").select("g", "name", F.coalesce("root", "name").alias("root"))
-        split = apart.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
-        members = table(apart.join(split, "g"), "jaccard-split")  # groups that still span components
-        if members.isEmpty():
+        at = lambda c, d: roots.select(F.col("name").alias(c), F.col("root").alias(d))  # noqa: E731, B023
+        members = apart(members, roots)
+        if k == 0:  # the other pairs, where their ends are still apart
+            rest = pairs.join(at("a", "x"), "a", "left").join(at("b", "y"), "b", "left")
+            cells = rest.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+        elif members.isEmpty():
             break
         if k < STARS:  # a member of a group's largest component against all outside of it
             part = members.groupBy("g", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("r"), "name")).alias("hub"))
             part = part.groupBy("g").agg(F.max(F.struct("n", "root", F.col("hub")["name"].alias("hub"))).alias("top")).select("g", "top.hub", F.col("top.root").alias("top"))
-            cells = members.join(part, "g").filter("root <> top").select(F.least("hub", "name").alias("a"), F.greatest("hub", "name").alias("b"))
+            star = _cells(members.join(part, "g").filter("root <> top"), "hub", "name")
         else:
-            sketches = sketches_of(slim, small(table(members.select("name").distinct(), "jaccard-apart")), n)
-            cells = near_cells(members.join(sketches, "name"), percent)
-        cells = table(cells.distinct().join(star, ["a", "b"], "left_anti"), "jaccard-cells")
+            star = near_cells(members.join(with_sketches(rows), "name"), percent)
+        cells = table((cells.unionByName(star) if k == 0 else star).distinct().join(done, ["a", "b"], "left_anti"), "jaccard-cells")
         if not cells.isEmpty():
-            star = table(star.unionByName(cells), "jaccard-done")
-            links = table(links.unionByName(overlap_links(slim, cells, n, percent)), "jaccard-links")
-            roots = connected(links)
-        members = members.select("g", "name")
+            done = table(done.unionByName(cells), "jaccard-done")
+            roots = joined_by(roots, overlap_links(cells, rows, percent))
+    return roots
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document: the smallest doc_id reachable by links."""
+    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    every = table(sets_of(slim, n), "jaccard-sets")
+    sets = every.filter("counts IS NULL").select("doc_id", "n_shingles", "name")
+    entries = sets.agg(F.sum(F.floor(F.col("n_shingles") * (100 - percent) / 100) + COMMON)).first()[0] or 0
+    buckets = 2 * packed.n_buckets(entries, 28)  # half-size buckets: multiplied() holds several copies of one
+    roots = linked_sets(slim, n, percent, column_ranks(every), buckets)
     named = sets.join(small(roots), "name", "left").withColumn("root", F.coalesce("root", "name"))
     named = named.select("doc_id", "n_shingles", "root")
     least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("of")).filter("of > 1").select("root", "least")

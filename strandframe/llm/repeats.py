@@ -366,7 +366,7 @@ def doc_spans(windows: DataFrame, window: int) -> DataFrame:
 
 def flagged_texts(docs: DataFrame, flags: DataFrame) -> DataFrame:
     """(id, text, flags) of the flagged documents of (id, text); flags is a written table."""
-    ids = small(flags.select("id"), 2_000_000)
+    ids = small(flags.select("id"))
     return docs.join(ids, "id", "left_semi").join(flags, "id").select("id", "text", "flags")
 
 
