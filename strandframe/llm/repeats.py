@@ -11,8 +11,12 @@ those that share one anchor (a chunk) travel together:
 3. spans: covered units are gathered per document.
 
 Entries travel as packed arrays, a few large rows; buckets grow in number with the input, not in size. Keys
-and chunks that repeat within a worker's flush are settled there, so a hot passage sends one
+and chunks that repeat within a worker's flush are settled there, byte for byte, so a hot passage sends one
 chunk a flush, not one a document.
+
+A document is known by two numbers: ``id`` orders it, ``who`` tells it from others. They are the same but
+for rows without an id or whose id has several texts; there ``who`` is a hash of id and text. So equal rows are one
+document, and rows of one id with different texts are documents of which none comes before the other.
 """
 
 from __future__ import annotations
@@ -111,8 +115,18 @@ def _uncut(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return np.asarray(batch.column(0).fill_null(NO_ID), np.int64)
+def documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, who, text) of every row."""
+    slim = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
+    own = F.xxhash64("id", F.coalesce("text", F.lit("")))
+    several = slim.filter(F.col("id") != NO_ID).groupBy("id").agg(F.count("*").alias("n"), F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo <> hi")
+    several = small(table(several.select("id", F.lit(True).alias("__several")), "ids-of-several-texts"))
+    who = F.when(F.col("__several") | (F.col("id") == NO_ID), own).otherwise(F.col("id"))
+    return slim.join(several, "id", "left").select("id", who.alias("who"), "text")
+
+
+def _ids(batch: pa.RecordBatch, column: int = 0) -> np.ndarray:
+    return np.asarray(batch.column(column), np.int64)
 
 
 def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
@@ -179,7 +193,7 @@ def anchor_entries(docs: DataFrame, u: Units, n: int) -> DataFrame:
         if held:
             yield from flush(np.concatenate(keys), np.concatenate(doc))
 
-    return docs.mapInArrow(scan, packed.schema(2))
+    return docs.select("who", "text").mapInArrow(scan, packed.schema(2))
 
 
 def decoded(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +229,7 @@ def repeated(group: pa.Table, n: int) -> pa.Table:
 
 
 def flagged_docs(entries: DataFrame) -> DataFrame:
-    """(id, flags): each document's repeated anchors, sorted, from packed rows dealt by document."""
+    """(who, flags): each document's repeated anchors, sorted, from packed rows dealt by document."""
 
     def gather(group: pa.Table) -> pa.Table:
         doc = np.concatenate([np.cumsum(np.frombuffer(b, np.int64)) for b in group["c1"].to_pylist()])
@@ -226,18 +240,19 @@ def flagged_docs(entries: DataFrame) -> DataFrame:
         new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
         ends = np.cumsum(np.add.reduceat(new, starts, dtype=np.int64)) if len(starts) else np.zeros(0, np.int64)
         blob, lo = key[new].tobytes(), np.concatenate(([0], ends[:-1])) * 4
-        return pa.table([pa.array(doc[starts]), pa.array([blob[a:b] for a, b in zip(lo.tolist(), (ends * 4).tolist(), strict=True)], pa.binary())], names=["id", "flags"])
+        return pa.table([pa.array(doc[starts]), pa.array([blob[a:b] for a, b in zip(lo.tolist(), (ends * 4).tolist(), strict=True)], pa.binary())], names=["who", "flags"])
 
-    return packed.by_bucket(entries, gather, "id long, flags binary")
+    return packed.by_bucket(entries, gather, "who long, flags binary")
 
 
-#: Of the chunks of a bucket or flush (key, document, place within the document, windows, content blobs): which windows repeat earlier ones.
-Settle = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]], np.ndarray]
-CHUNK_SCHEMA = "bucket int, key binary, doc binary, start binary, count binary, body binary, size binary"
+#: Of the chunks of a bucket (key, id, start, windows, size of content, contents): which windows repeat earlier ones.
+Settle = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes], np.ndarray]
+#: doc: ids; who: who less id, mostly 0.
+CHUNK_SCHEMA = "bucket int, key binary, doc binary, who binary, start binary, count binary, body binary, size binary"
 
 
-def _chunk_row(bucket: int, key, doc, start, count, body: bytes, size) -> list:
-    return [bucket, key.tobytes(), doc.tobytes(), start.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), body, size.astype(np.uint32).tobytes()]
+def _chunk_row(bucket: int, key, doc, who, start, count, body: bytes, size) -> list:
+    return [bucket, key.tobytes(), doc.tobytes(), (who - doc).tobytes(), start.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), body, size.astype(np.uint32).tobytes()]
 
 
 def _chunk_batch(rows: list[list]) -> pa.RecordBatch:
@@ -245,21 +260,40 @@ def _chunk_batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(len(names))], names=names)
 
 
+def repeats_earlier(group: tuple[np.ndarray, ...], doc: np.ndarray, who: np.ndarray, start: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries in groups of equal keys: (whether one of a smaller id, or with ``within`` of the same document and an earlier start, is in the group too; the group's entry of least id)."""
+    order = np.lexsort((start, who, doc, *group[::-1]))
+    w, d, s = who[order], doc[order], start[order]
+    head = np.zeros(len(order), bool)
+    head[:1] = True
+    for g in group:
+        head[1:] |= g[order[1:]] != g[order[:-1]]
+    first = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    gone = d > d[first]
+    if within:
+        own = head.copy()
+        own[1:] |= (w[1:] != w[:-1]) | (d[1:] != d[:-1])
+        gone |= s > s[np.maximum.accumulate(np.where(own, np.arange(len(order)), 0))]
+    out, least = np.zeros(len(order), bool), np.empty(len(order), np.int64)
+    out[order], least[order] = gone, order[first]
+    return out, least
+
+
 def chunk_entries(docs: DataFrame, u: Units, body: Callable[[Texts, np.ndarray, Chunks], tuple[bytes, np.ndarray]], n: int) -> DataFrame:
-    """Chunks of (id, text), of flagged anchors only if there is a third column flags, dealt by the anchor's hash. Copies within a
+    """Chunks of (id, who, text), of flagged anchors only if there is a further column flags, dealt by the anchor's hash. Copies within a
     flush of an earlier chunk are settled at once: buckets below 0 have them, dealt by document, as removed windows."""
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        key, doc, start, count, mark, size = (np.concatenate([p[i] for p in parts]) for i in range(6))
-        blob = b"".join(p[6] for p in parts)
+        key, doc, who, start, count, mark, size = (np.concatenate([p[i] for p in parts]) for i in range(7))
+        blob = b"".join(p[7] for p in parts)
         ends = np.cumsum(size)
-        order, starts, many = _sorted_groups(mark, doc, start)
-        least = np.empty(len(order), np.int64)
-        least[order] = np.repeat(order[starts], many)  # the earliest chunk of the same content
-        gone = (doc > doc[least]) | (u.within & (doc == doc[least]) & (start != start[least]))
+        gone, least = repeats_earlier((mark,), doc, who, start, u.within)
+        content = lambda i: blob[ends[i] - size[i] : ends[i]]
+        for i in np.flatnonzero(gone).tolist():  # equal marks are not trusted
+            gone[i] = content(i) == content(least[i])
         rows = []
-        for bucket, (d, s, c) in to_docs(doc[gone], [start[gone], count[gone]], n):
-            rows.append(_chunk_row(-1 - bucket, d[:0], d, s, c, b"", s[:0]))
+        for bucket, (w, s, c) in to_docs(who[gone], [start[gone], count[gone]], n):
+            rows.append(_chunk_row(-1 - bucket, key[:0], w, w, s, c, b"", s[:0]))
         stay = np.flatnonzero(~gone)
         bucket = bucket_of(key[stay], n)
         by = np.argsort(bucket, kind="stable")
@@ -267,14 +301,14 @@ def chunk_entries(docs: DataFrame, u: Units, body: Callable[[Texts, np.ndarray,
         for lo, hi in _runs(bucket):
             w = order[lo:hi]
             text = b"".join([blob[a:b] for a, b in zip((ends[w] - size[w]).tolist(), ends[w].tolist(), strict=True)])
-            rows.append(_chunk_row(int(bucket[lo]), key[w], doc[w], start[w], count[w], text, size[w]))
+            rows.append(_chunk_row(int(bucket[lo]), key[w], doc[w], who[w], start[w], count[w], text, size[w]))
         yield _chunk_batch(rows)
 
     def scan(batches):
         parts, held = [], 0
         for batch in batches:
-            ids, flags = _ids(batch), batch.column(2) if batch.num_columns > 2 else None
-            for t in pieces(batch.column(1)):
+            ids, who, flags = _ids(batch), _ids(batch, 1), batch.column(3) if batch.num_columns > 3 else None
+            for t in pieces(batch.column(2)):
                 values, offsets = u.of(t)
                 c = chunks_of(values, offsets, u)
                 rows = len(t.offsets) - 1
@@ -288,7 +322,7 @@ def chunk_entries(docs: DataFrame, u: Units, body: Callable[[Texts, np.ndarray,
                     continue
                 blob, size = body(t, values, c)
                 content = span_hashes(values, c.start, c.start + c.count + (u.window - 1), WORD_BASE)
-                parts.append((c.key, ids[t.first + c.row], c.start - offsets[c.row], c.count, content, size, blob))
+                parts.append((c.key, ids[t.first + c.row], who[t.first + c.row], c.start - offsets[c.row], c.count, content, size, blob))
                 held += len(blob)
                 if held >= 4 << 20:
                     yield from flush(parts)
@@ -326,12 +360,13 @@ def settled(chunks: DataFrame, settle: Settle, n: int) -> DataFrame:
         bucket = group["bucket"][0].as_py()
         get = lambda c, kind: np.frombuffer(b"".join(group[c].to_pylist()), kind)
         doc, start, count = get("doc", np.int64), get("start", np.uint32).astype(np.int64), get("count", np.uint32).astype(np.int64)
+        who = doc + get("who", np.int64)
         if bucket < 0:
-            runs = [(-1 - bucket, doc, start, count)]
+            runs = [(-1 - bucket, who, start, count)]
         else:
             size = get("size", np.uint32).astype(np.int64)
             gone = settle(get("key", np.uint64), doc, start, count, size, b"".join(group["body"].to_pylist()))
-            runs = removed_runs(gone, doc, start, count, n)
+            runs = removed_runs(gone, who, start, count, n)
         rows = [[b, d.tobytes(), s.astype(np.uint32).tobytes(), c.astype(np.uint32).tobytes()] for b, d, s, c in runs]
         names = [c.split()[0] for c in SPAN_SCHEMA.split(", ")]
         return pa.table([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(4)], names=names)
@@ -340,7 +375,7 @@ def settled(chunks: DataFrame, settle: Settle, n: int) -> DataFrame:
 
 
 def doc_spans(windows: DataFrame, window: int) -> DataFrame:
-    """(id, spans): the units that removed windows cover, as uint32 (start, end) pairs of maximal runs."""
+    """(who, spans): the units that removed windows cover, as uint32 (start, end) pairs of maximal runs."""
 
     def gather(group: pa.Table) -> pa.Table:
         get = lambda c, kind: np.frombuffer(b"".join(group[c].to_pylist()), kind)
@@ -359,15 +394,15 @@ def doc_spans(windows: DataFrame, window: int) -> DataFrame:
         pairs = np.stack((start[at], reach[last] - lift[last]), 1).astype(np.uint32)
         heads = np.flatnonzero(np.diff(doc[at], prepend=doc[at][:1] - 1)) if len(at) else at
         blob, bounds = pairs.tobytes(), np.append(heads, len(at)) * 8
-        return pa.table([pa.array(doc[at][heads]), pa.array([blob[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=["id", "spans"])
+        return pa.table([pa.array(doc[at][heads]), pa.array([blob[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=["who", "spans"])
 
-    return packed.by_bucket(windows, gather, "id long, spans binary")
+    return packed.by_bucket(windows, gather, "who long, spans binary")
 
 
 def flagged_texts(docs: DataFrame, flags: DataFrame) -> DataFrame:
-    """(id, text, flags) of the flagged documents of (id, text); flags is a written table."""
-    ids = small(flags.select("id"))
-    return docs.join(ids, "id", "left_semi").join(flags, "id").select("id", "text", "flags")
+    """(id, who, text, flags) of the flagged documents; flags is a written table."""
+    ids = small(flags.select("who"))
+    return docs.join(ids, "who", "left_semi").join(flags, "who").select("id", "who", "text", "flags")
 
 
 def buckets_of(docs: DataFrame, text: str = "text", each: int = 4 << 20) -> int:
@@ -377,5 +412,5 @@ def buckets_of(docs: DataFrame, text: str = "text", each: int = 4 << 20) -> int:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(id, text, spans) of every row of (id, text); spans null where nothing is removed."""
-    return docs.join(small(table(spans, "spans")), "id", "left").select("id", "text", "spans")
+    """(id, text, spans) of every row of (id, who, text); spans null where nothing is removed."""
+    return docs.join(small(table(spans, "spans")), "who", "left").select("id", "text", "spans")

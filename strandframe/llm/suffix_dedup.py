@@ -4,11 +4,12 @@ Documents are cut to the chunks whose 50-byte windows may occur in another docum
 and each bucket of chunks gets a suffix array by two-stage sorting: only the suffixes that are smaller than
 their successors are sorted directly; scanning the first-byte buckets in order induces the
 others. Adjacent common prefixes then group equal windows; a window is removed if
-a document of smaller id holds it. Everything is exact: bytes are compared, and an anchor's hash only routes.
+a document of smaller id holds it. Whole chunks that an earlier document has are settled before, so that copies need no
+sorting. Everything is exact: bytes are compared in both, and an anchor's hash only routes.
 
-Defined cases: null text is empty; null doc_id is the smallest; repeats within a document
-stay; rows that repeat a doc_id are one document (equal rows get equal results; places removed
-in one of its texts are removed in all); empty table, empty result; other columns are not looked at.
+Defined cases: null text is empty; null doc_id is smaller than any other, and none of such rows is smaller than another; repeats within a document
+stay; rows of one doc_id are judged apart, none of them smaller than another, and equal rows get equal results;
+empty table, empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import repeats
 from .common import table
@@ -146,7 +146,7 @@ def _bodies(t: Texts, values: np.ndarray, c: repeats.Chunks) -> tuple[bytes, np.
 def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text, spans): every document with the byte spans to remove, null for none."""
     u = repeats.Units(WINDOW, GRAM, words=False, within=False)
-    slim = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(repeats.NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
+    slim = repeats.documents(docs, doc_id, text)
     n = repeats.buckets_of(slim, each=2 << 20)
     found = repeats.packed.by_bucket(repeats.anchor_entries(slim, u, n), lambda g: repeats.repeated(g, n), repeats.packed.schema(2))
     flags = table(repeats.flagged_docs(found), "suffix-flags")
