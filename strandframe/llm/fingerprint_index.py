@@ -3,16 +3,18 @@
 The index is a list of immutable runs; a run holds the fingerprints of a batch's distinct 20-word windows,
 sorted, in buckets. A new batch is dealt to the same buckets and merge-joined with every run there: a
 window found in a run is an earlier one's copy, and so is one that comes earlier in the batch. The batch's own windows
-become the next run; when there are more than FAN_OUT, compaction merges them into one. Batches
+become the next run; when there are more than fan_out, compaction merges them into one. Batches
 are added in the order of doc_id, so runs need no places, and a hot passage is one entry.
 
 A fingerprint is the window's anchor (48 bits of the hash of its least 6-word gram, see repeats.py, which
 also routes it) and 40 bits of a hash of the whole window; entries are matched by a mix of both
 and each match is verified on all 88 bits. Windows of one anchor travel together, 5 bytes each.
 
-Defined cases: null text has no words; null doc_id is the smallest; rows that repeat a doc_id
-are one document (equal rows get equal results; places removed in one of its texts are removed in all);
-empty table, empty result; other columns are not looked at.
+An index can be opened again: what runs it has is in its folder, in a manifest that is written after each run.
+
+Defined cases: null text has no words; null doc_id is smaller than any other, and none of such rows is smaller than another; rows of
+one doc_id are judged apart, none of them smaller than another, and equal rows get equal results; within an index a batch must not
+repeat ids of an earlier one with other texts; empty table, empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .ragged import SPACES_BYTES, WORD_BASE, Texts, mix, span_hashes
 
 WINDOW, GRAM, FAN_OUT, WIDTH = 20, 6, 4, 5
 _UNITS = repeats.Units(WINDOW, GRAM, words=True, within=True)
+_MANIFEST = "version int, buckets int, fan_out int, runs array<string>"
 _OUT = "kind int, bucket int, a binary, b binary, c binary"
 
 
@@ -82,21 +85,35 @@ def _mixed(key: np.ndarray, window: np.ndarray) -> np.ndarray:
 class FingerprintIndex:
     """Runs of window fingerprints in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, n_buckets: int, path: str | None = None):
-        self.spark, self.n = spark, n_buckets
+    def __init__(self, spark: SparkSession, n_buckets: int, path: str | None = None, fan_out: int = FAN_OUT):
+        self.spark, self.n, self.fan_out = spark, n_buckets, fan_out
         self.path = path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that was written to a folder, as its last manifest has it."""
+        last = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+        out = cls(spark, last["buckets"], path, last["fan_out"])
+        out.runs, out.version = [f"{path}/{r}" for r in last["runs"]], last["version"]
+        return out
+
+    def _note(self) -> None:
+        self.version += 1
+        runs = [r.removeprefix(f"{self.path}/") for r in self.runs]
+        self.spark.createDataFrame([(self.version, self.n, self.fan_out, runs)], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def add(self, batch: DataFrame, keep: bool = True) -> DataFrame:
-        """Removed windows of a batch (id, text) of later documents, packed by document; with keep, the batch becomes a run."""
+        """Removed windows of a batch (id, who, text; see repeats.documents()) of later documents, packed by document; with keep, the batch becomes a run."""
         n, old = self.n, None
         for run in self.runs:
             rows = self.spark.read.schema("bucket int, a binary, b binary, c binary").parquet(run)
             old = rows if old is None else old.unionByName(rows)
-        entries = repeats.chunk_entries(batch, _UNITS, _bodies, n).select(F.lit(0).alias("age"), "bucket", "key", "doc", "start", "count", "body")
+        entries = repeats.chunk_entries(batch, _UNITS, _bodies, n).select(F.lit(0).alias("age"), "bucket", "key", "doc", "who", "start", "count", "body")
         if old is not None:
             none = F.lit(b"")
-            entries = entries.unionByName(old.select(F.lit(1).alias("age"), "bucket", F.col("a").alias("key"), none.alias("doc"), none.alias("start"), F.col("b").alias("count"), F.col("c").alias("body")))
+            entries = entries.unionByName(old.select(F.lit(1).alias("age"), "bucket", F.col("a").alias("key"), none.alias("doc"), none.alias("who"), none.alias("start"), F.col("b").alias("count"), F.col("c").alias("body")))
 
         def merge(group: pa.Table) -> pa.Table:
             packed.give_back()  # what the bucket before held
@@ -105,24 +122,14 @@ class FingerprintIndex:
             new, history = group.filter(pa.array(age == 0)), group.filter(pa.array(age == 1))
             get = lambda c, kind: np.frombuffer(b"".join(new[c].to_pylist()), kind)
             doc, start, count = get("doc", np.int64), get("start", np.uint32).astype(np.int64), get("count", np.uint32).astype(np.int64)
+            who = doc + get("who", np.int64)
             if bucket < 0:
-                return _table([_row(0, -1 - bucket, doc.tobytes(), start.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes())])
+                return _table([_row(0, -1 - bucket, who.tobytes(), start.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes())])
             key = np.repeat((get("key", np.uint64) >> np.uint64(16)) << np.uint64(16), count)
             window = _wide(b"".join(new["body"].to_pylist()))
             owner = np.repeat(np.arange(len(count)), count)
             place = start[owner] + np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
-            order = np.lexsort((place, doc[owner], window, key))
-            later = np.zeros(len(order), bool)  # a copy of the window before it in (fingerprint, document, place)
-            a, b = order[:-1], order[1:]
-            later[1:] = (key[a] == key[b]) & (window[a] == window[b])
-            later[1:] &= (doc[owner][a] != doc[owner][b]) | (place[a] != place[b])  # not the same place of a repeated row
-            gone = np.zeros(len(order), bool)
-            gone[order] = later
-            ties = np.zeros(len(order), bool)  # repeated rows share the fate of their first
-            ties[1:] = (key[a] == key[b]) & (window[a] == window[b]) & (doc[owner][a] == doc[owner][b]) & (place[a] == place[b])
-            if ties.any():
-                first = np.maximum.accumulate(np.where(ties, 0, np.arange(len(order))))
-                gone[order] = later[first]
+            gone, _ = repeats.repeats_earlier((key, window), doc[owner], who[owner], place, within=True)
             if len(history):
                 k, w = _run_entries(list(zip(*(history[c].to_pylist() for c in ("key", "count", "body")), strict=True)))
                 h = _mixed(k, w)
@@ -130,7 +137,7 @@ class FingerprintIndex:
                 k, w, h = k[sort], w[sort], h[sort]
                 at = np.minimum(np.searchsorted(h, _mixed(key, window)), len(h) - 1)
                 gone |= (k[at] == key) & (w[at] == window)
-            rows = [_row(0, b, d.tobytes(), s.astype(np.uint32).tobytes(), c.astype(np.uint32).tobytes()) for b, d, s, c in repeats.removed_runs(gone, doc, start, count, n)]
+            rows = [_row(0, b, d.tobytes(), s.astype(np.uint32).tobytes(), c.astype(np.uint32).tobytes()) for b, d, s, c in repeats.removed_runs(gone, who, start, count, n)]
             if keep and not gone.all():
                 rows.append(_run_row(bucket, key[~gone], window[~gone]))
             return _table(rows)
@@ -141,8 +148,9 @@ class FingerprintIndex:
         found = self.spark.read.schema("bucket int, a binary, b binary, c binary, kind int").parquet(at)
         if keep and not found.filter("kind = 1").isEmpty():
             self.runs.append(f"{at}/kind=1")
-            if len(self.runs) > FAN_OUT:
+            if len(self.runs) > self.fan_out:
                 self.compact()
+            self._note()
         return found.filter("kind = 0").select("bucket", F.col("a").alias("doc"), F.col("b").alias("start"), F.col("c").alias("count"))
 
     def compact(self) -> None:
@@ -158,26 +166,27 @@ class FingerprintIndex:
         self.runs = [at]
 
 
-def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: tuple[float, ...] = (0.25,)) -> DataFrame:
+def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: tuple[float, ...] = (0.25,), index: FingerprintIndex | None = None, fan_out: int = FAN_OUT) -> DataFrame:
     """(id, text, spans): every document with the spans of words to remove, null for none.
 
-    The table is added to a new index in batches, cut at these quantiles of doc_id.
+    The table is added to the index in batches, cut at these quantiles of doc_id. Without an index a new one is made for this
+    table alone, and its last batch, which nothing follows, does not become a run.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(repeats.NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
-    index = FingerprintIndex(spark, repeats.buckets_of(slim, each=2 << 20))
+    slim, last = repeats.documents(docs, doc_id, text), index is not None
+    index = index or FingerprintIndex(spark, repeats.buckets_of(slim, each=2 << 20), fan_out=fan_out)
     cuts = sorted({int(c) for c in (slim.filter(F.col("id") != repeats.NO_ID).approxQuantile("id", list(parts), 0.01) if parts else [])})
     windows, low = None, None
     for high in [*cuts, None]:
         batch = slim if low is None else slim.filter(F.col("id") > low)
         batch = batch if high is None else batch.filter(F.col("id") <= high)
-        found = index.add(batch, keep=high is not None)
+        found = index.add(batch, keep=last or high is not None)
         windows, low = found if windows is None else windows.unionByName(found), high
     return repeats.with_spans(slim, repeats.doc_spans(windows, WINDOW))
 
 
 def op6_fingerprint_index(spark, sf_dir: str) -> DataFrame:
-    docs = repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), parts=(0.1, 0.25), fan_out=1)
 
     def digest(batches):
         for batch in batches:
