@@ -1,11 +1,11 @@
 """Line dedup across documents, in DataFrame functions only.
 
-Line hashes are range-partitioned by (hash, document) with document and position as
-secondary sort, so the rows of one document's line meet without a second shuffle and a
-hot line spreads over many tasks. Counting runs over that order: one row per (line,
-document), then partial counts per line, which is all that is shuffled again. Lines
-above the limit form a small table; the documents are met with it where they lie. The
-result has no text: for each document the kept lines as a run-length bitmap.
+Lines that are long enough are hashed (128 bits) and written once with their document and position. They are
+range-partitioned by (hash, document), so that a hot line spreads over many tasks, with document and position
+as secondary sort; a window streams over that order and passes each document's first occurrence of a line. Only
+partial counts per line are shuffled after that. Lines above the limit form a small table; the written
+positions are met with it. The result has no text: for each document the kept lines as a run-length
+bitmap.
 
 Defined cases: null or empty text is one empty line; a document is a doc_id, so rows that
 repeat a doc_id count once, and each of them keeps its line if it is the largest; null
@@ -15,7 +15,7 @@ input columns named like an output column are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, ascii_lower, small, table, with_columns
@@ -34,24 +34,30 @@ def line_key(line: Column) -> Column:
 
 
 def _positions(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """(id, row, h, pos): the lines whose key is long enough. row: a hash of the text, to tell rows of one id apart."""
+    """(id, row, h, h2, pos): the lines whose key is long enough. row: a hash of the text, to tell rows of one id apart."""
     base = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("row"), F.posexplode(lines_of(F.col(f"`{text}`"))).alias("pos", "line"))
     key = line_key(F.col("line"))
-    return base.filter(F.length("line") >= min_chars).filter(F.length(key) >= min_chars).select("id", "row", F.xxhash64(key).alias("h"), "pos")
+    return base.filter(F.length("line") >= min_chars).filter(F.length(key) >= min_chars).select("id", "row", key.alias("key"), "pos").select("id", "row", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "pos")
 
 
-def frequent_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(h, keeper): lines found in at least min_docs documents, and the largest id that holds each."""
-    at = _positions(docs, doc_id, text, min_chars)
-    at = at.repartitionByRange("h", "id").sortWithinPartitions("h", "id", "pos")
-    first = at.groupBy("h", "id").agg(F.min("pos").alias("pos"))  # no exchange: ranges of (h, id) hold the group
-    return first.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).select("h", "keeper")
+def first_occurrences(at: DataFrame) -> DataFrame:
+    """(h, h2, id): of the lines in ``at`` the first in each document, streamed in the order of line, document and position."""
+    order = Window.partitionBy("h", "h2", "id").orderBy("pos")
+    at = at.repartitionByRange("h", "h2", "id")  # the window needs no other exchange
+    return at.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("h", "h2", "id")
+
+
+def frequent_lines(at: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(h, h2, keeper): lines found in at least min_docs documents, and the largest id that holds each."""
+    found = first_occurrences(at).groupBy("h", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
+    return found.filter(F.col("n") >= min_docs).select("h", "h2", "keeper")
 
 
 def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with n_lines, n_dropped and keep_runs: array of (start, n), the kept lines; null where all are kept."""
-    frequent = small(table(frequent_lines(docs, doc_id, text, min_chars, min_docs), "lines-frequent"))
-    hit = _positions(docs, doc_id, text, min_chars).join(frequent, "h").filter(F.col("id") != F.col("keeper"))
+    at = table(_positions(docs, doc_id, text, min_chars), "line-positions")
+    frequent = small(table(frequent_lines(at, min_docs), "lines-frequent"))
+    hit = at.join(frequent, ["h", "h2"]).filter(F.col("id") != F.col("keeper"))
     gone = table(hit.groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "lines-gone")
     gone = small(gone).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("gone").alias("__gone"))
     mine = [F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_NO_ID)) == F.col("__id"), F.xxhash64(F.col(f"`{text}`")) == F.col("__row")]
