@@ -88,12 +88,12 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np
     size = np.diff(bounds)
     order = np.argsort(-size, kind="stable")
     begin, size = bounds[:-1][order], size[order]
-    label, back = np.zeros(len(score), np.int8), np.zeros(score.shape, bool)  # back: came from the best of the word before
-    best = np.zeros(len(score), np.int8)
+    label, back = np.zeros(len(score), np.int32), np.zeros(score.shape, bool)  # back: came from the best of the word before
+    best = np.zeros(len(score), np.int32)
     most = int(size[0]) if len(size) else 0
     live = np.searchsorted(-size, -np.arange(most), "left")  # rows that have a word at each step
     state = score[begin[: live[0]]].copy() if most else None
-    last = np.zeros(len(size), np.int8)
+    last = np.zeros(len(size), np.int32)
     for i in range(most):
         rows = live[i]
         if i:

@@ -2,11 +2,11 @@
 
 Sizes (words) are summed per source, capped targets are found by water-filling, and
 each document is emitted floor(target / source size) times, plus once more if a hash of
-its id falls below the fraction. One pass sums, one pass emits; the documents themselves
+its id and text falls below the fraction. One pass sums, one pass emits; the documents themselves
 are never shuffled. What is broadcast has one row per source and is size-checked.
 
 Defined cases: null text has size 0; null source is a source of its own, ranked last;
-null doc_id draws like the text "null"; rows with the same doc_id draw alike; an empty
+rows without a doc_id or with the same one draw by their texts; rows equal in both draw alike; an empty
 table gives an empty result; sources without words have target 0; input columns named
 like an output column are replaced.
 """
@@ -56,7 +56,7 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id
     plan = table(source_targets(table(sizes, "mix-sizes"), weights, most, share), "mix-targets")
     side = small(plan.select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target")))
     # a 32-bit uniform draw, the same wherever and whenever the document is met
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / float(2**32)
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")), F.coalesce(F.col(f"`{text}`"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(2**32)
     rate = F.when(F.col("__size") > 0, F.col("__target") / F.col("__size")).otherwise(0.0)
     joined = docs.join(side, F.col(f"`{source}`").eqNullSafe(F.col("__source"))).withColumn("__rate", rate)
     out = with_columns(joined, {
@@ -85,11 +85,11 @@ levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER f, 0))::
 targets AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT max(level) FROM levels) * weight) AS target FROM levels),
 taken AS (SELECT s.doc_id, s.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('mix-1:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+    ('0x' || substr(md5('mix-1:' || coalesce(s.doc_id::VARCHAR, 'null') || ':' || coalesce(s.text, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 """
 SQL = r"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 """ + TARGETS_SQL + """
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM taken
 """

@@ -5,7 +5,7 @@ place (checked when the model is loaded), so the parts between are counted alone
 a batch are hashed and only new ones are merged: their symbols stand in one ragged array, and
 every round applies the lowest-ranked pair (the leftmost of equals) of every part at once, until none has a
 pair left. Surviving symbols are tokens; characters outside the vocabulary count their UTF-8 bytes.
-Parts of more than LONG symbols are merged alone, with a heap.
+Of parts of more than LONG symbols, the places of the lowest rank are merged all at once, rank after rank (_by_rank).
 
 Only documents move through Python, in pieces of bounded size; what a worker remembers is bounded
 by KNOWN parts. Defined cases: null and empty texts have no tokens; repeated rows get equal results; an empty
@@ -57,6 +57,12 @@ class PieceModel:
         self.keys = np.array(sorted(table), np.int64)
         self.rank = np.array([table[k][0] for k in self.keys.tolist()] + [_NONE], np.int64)
         self.merged = np.array([table[k][1] for k in self.keys.tolist()] + [0], np.int64)
+        #: symbols whose making can make a pair of no higher rank than their own
+        self.hasty = np.zeros(max(symbols.values()) + 1, bool)
+        own = {i: order[scores[name]] for name, i in names.items()}
+        for key, (rank, _) in table.items():
+            for part in (key >> bits, key & ((1 << bits) - 1)):
+                self.hasty[part] |= own.get(part, -1) >= rank
         # of a code point: its symbol, or minus its UTF-8 bytes
         self.symbol = -np.repeat([1, 2, 3, 4], [0x80, 0x780, 0xF800, 0x100000]).astype(np.int64)
         for c, i in symbols.items():
@@ -78,9 +84,9 @@ class PieceModel:
     def count(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Tokens of each part; symbols holds the parts one after the other."""
         out, ids = np.zeros(len(lengths), np.int64), np.arange(len(lengths))
-        for i in np.flatnonzero(lengths > LONG):
-            end = int(lengths[: i + 1].sum())
-            out[i] = self._long(symbols[end - int(lengths[i]) : end].tolist())
+        far = lengths > LONG
+        if far.any():
+            out[far] = self._by_rank(symbols[np.repeat(far, lengths)], lengths[far])
         keep = lengths <= LONG
         symbols, lengths, ids = symbols[np.repeat(keep, lengths)], lengths[keep], ids[keep]
 
@@ -122,32 +128,75 @@ class PieceModel:
             at[left] = self.pairs(symbols[left], symbols[left + 1])
         return out
 
-    def _long(self, symbols: list[int]) -> int:
-        """Tokens of one long part."""
-        n, live = len(symbols), [True] * len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        seen = self.pairs(np.array(symbols[:-1], np.int64), np.array(symbols[1:], np.int64))
-        heap = [(int(self.rank[k]), i, symbols[i], symbols[i + 1], int(self.merged[k])) for i, k in enumerate(seen.tolist()) if k < len(self.keys)]
-        heapq.heapify(heap)
-        table = self._table()
-        while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = after[i]
-            if not live[i] or symbols[i] != a or j >= n or symbols[j] != b:
-                continue
-            symbols[i], live[j] = new, False
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (k := table.get(symbols[x] << self.bits | symbols[y] if symbols[x] >= 0 <= symbols[y] else -1)) is not None:
-                    heapq.heappush(heap, (int(self.rank[k]), x, symbols[x], symbols[y], int(self.merged[k])))
-        return sum(int(self.tokens[s]) if s >= 0 else -s for s, x in zip(symbols, live, strict=True) if x)
+    def _by_rank(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of long parts: rank by rank, all places of all parts whose pair has the least rank are merged at once.
+
+        That is the order of merging one pair after the other, as long as a merge makes no pair of a lower rank; of pieces
+        that could (self.hasty), the places up to the first that does are merged, and the rest wait. Rounds are bounded by ranks, not by the length of a part.
+        """
+        n, none = len(symbols), len(self.keys)
+        part = np.repeat(np.arange(len(lengths)), lengths)
+        ends = np.cumsum(lengths)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1], before[ends - lengths] = -1, -1
+        live, pair = np.ones(n, bool), np.full(n, none)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
 
-    def _table(self) -> dict[int, int]:
-        if not hasattr(self, "table"):
-            self.table = {k: i for i, k in enumerate(self.keys.tolist())}
-        return self.table
+        def look(places: np.ndarray) -> None:
+            """Finds the pairs that start at some places, and lines them up by rank."""
+            right = after[places]
+            pair[places] = np.where(right >= 0, self.pairs(symbols[places], symbols[right]), none)
+            rank = self.rank[pair[places]]
+            order = np.argsort(rank, kind="stable")
+            order = order[: np.searchsorted(rank[order], _NONE)]
+            if len(order):
+                places, rank = places[order], rank[order]
+                cut = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
+                for r, some in zip(rank[cut].tolist(), np.split(places, cut[1:]), strict=True):
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(ranks, r)
+                    waiting[r].append(some)
+
+        look(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[live[at] & (self.rank[pair[at]] == r)]
+            if not len(at):
+                continue
+            every = at
+            chain = np.concatenate(([True], after[at[:-1]] != at[1:]))  # places that overlap the one before: every other is merged
+            nth = np.arange(len(at)) - np.maximum.accumulate(np.where(chain, np.arange(len(at)), 0))
+            at = at[nth % 2 == 0]
+            new = self.merged[pair[at]]
+            if self.hasty[new].any():  # none after the first of its part that makes a pair of no higher rank
+                left, right = before[at], after[after[at]]
+                beside = symbols[left]
+                beside[1:] = np.where(left[1:] == after[at[:-1]], new[:-1], beside[1:])
+                made = np.minimum(self.rank[np.where(left >= 0, self.pairs(beside, new), none)], self.rank[np.where(right >= 0, self.pairs(new, symbols[right]), none)])
+                hasty = np.cumsum(made <= r) - (made <= r)
+                head = np.concatenate(([True], part[at[1:]] != part[at[:-1]]))
+                keep = hasty == hasty[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+                at, new = at[keep], new[keep]
+            gone = after[at]
+            symbols[at] = new
+            live[gone] = False
+            after[at] = after[gone]
+            some = after[at] >= 0
+            before[after[at][some]] = at[some]
+            pair[at] = none
+            left = before[at]
+            look(np.unique(np.concatenate((at, left[left >= 0]))))
+            rest = every[live[every] & (self.rank[pair[every]] == r)]
+            if len(rest):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(rest)
+        each = np.where(symbols >= 0, self.tokens[np.maximum(symbols, 0)], -symbols)
+        return np.bincount(part[live], weights=each[live], minlength=len(lengths)).astype(np.int64)
 
 
 class Counter:
@@ -172,13 +221,18 @@ class Counter:
         first[t.offsets] = True
         starts = np.flatnonzero(first[:-1] | (space & ~np.concatenate(([True], space[:-1]))))
         ends = np.append(starts[1:], len(space))
-        hashes = span_hashes(BYTE_VALUE[t.data], starts, ends, BASE)
+        # 112 bits name a part: the hash is looked up, the upper bits of a second one are kept beside the count
+        hashes, checks = (span_hashes(BYTE_VALUE[t.data], starts, ends, base) for base in (BASE, BASE + 2))
+        checks = checks >> np.uint64(16)
         unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
+        if (checks != checks[where][back]).any():  # unlike parts of one hash
+            _, where, back = np.unique(np.stack((hashes, checks), 1), axis=0, return_index=True, return_inverse=True)
+            unique, back = hashes[where], back.ravel()
+        keys, marks = unique.tolist(), checks[where].tolist()
         if len(self.known) > KNOWN:
             self.known.clear()
         found = [self.known.get(k, -1) for k in keys]
-        n = np.array(found, np.int64)
+        n = np.array([v & 0xFFFFFFFF if v >> 32 == m else -1 for v, m in zip(found, marks, strict=True)], np.int64)
         new = np.flatnonzero(n < 0)
         if len(new):
             lo, hi = starts[where[new]], ends[where[new]]
@@ -188,7 +242,7 @@ class Counter:
             heads = np.concatenate(([0], np.cumsum((flat & 0xC0) != 0x80)))
             bounds = heads[np.concatenate(([0], np.cumsum(size)))]
             n[new] = self.model.count(self.model.symbol[points], np.diff(bounds))
-            self.known.update(zip(unique[new].tolist(), n[new].tolist(), strict=True))
+            self.known.update((keys[i], marks[i] << 32 | count) for i, count in zip(new.tolist(), n[new].tolist(), strict=True))
         total = np.concatenate(([0], np.cumsum(n[back])))
         rows = np.searchsorted(starts, t.offsets)
         out += total[rows[1:]] - total[rows[:-1]]

@@ -4,8 +4,8 @@ The cascade answers "is this host listed?" exactly for every host of the corpus
 no join: level 1 encodes the listed hosts, level 2 the unlisted hosts of the corpus that
 level 1 takes wrongly, level 3 the listed ones that level 2 takes wrongly, and so on until
 a level errs on none. The levels are bit arrays held as constants of the plan; their
-size follows the list (LEVEL_BITS a key) and is checked against MAX_WORDS, beyond which the
-same answer comes from a join of the hosts with the list.
+size follows the list (LEVEL_BITS a key). Hosts are split by a hash to as many segments as keep
+a level below MAX_WORDS, each with a cascade of its own, so a list of any length is answered in the same way.
 
 Defined cases: null url or one without "://" has an empty host and path, fits no rule
 and is listed only if "" is; hosts compare with A-Z lower-cased; repeated rows get
@@ -20,13 +20,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small, table, with_columns
+from .common import ascii_lower, table, with_columns
 
 #: (verdict, host, path), as the contract states them.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Bits and hash functions a key of the first level and of later ones.
 LEVEL_BITS, LEVEL_HASHES = (10, 2), (5, 1)
+#: Words of 64 bits of a level of one segment; levels.
 MAX_WORDS, MAX_LEVELS = 1 << 17, 64
 
 
@@ -68,8 +69,8 @@ class Cascade:
         return out
 
     @classmethod
-    def build(cls, universe: DataFrame, max_words: int = MAX_WORDS) -> Cascade | None:
-        """universe: distinct (key, listed). None if a level would exceed max_words.
+    def build(cls, universe: DataFrame) -> Cascade:
+        """universe: distinct (key, listed).
 
         A level's bits come to the driver as 64-bit words, merged by the executors; the count
         of its keys is known, so its size is, before anything is gathered.
@@ -82,15 +83,32 @@ class Cascade:
                 return out
             bits, hashes = LEVEL_BITS[min(level, 1)], LEVEL_HASHES[min(level, 1)]
             n_words = -(-max(n * bits, 64) // 64)
-            if n_words > max_words:
-                return None
             at = inside.select(F.explode(F.array(*_bits(F.col("key"), level, n_words * 64, hashes))).alias("at"))
             one = F.expr("shiftleft(1L, cast(at % 64 AS int))")
             rows = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).collect()
             out.levels.append((n_words * 64, hashes, [(r["word"], r["bits"]) for r in rows]))
             wrong = table(outside.filter(out._holds(F.col("key"), level)), f"cascade-{level}")
             inside, outside = wrong, inside
-        return None
+        raise RuntimeError("the cascade did not end")
+
+
+class Segments:
+    """Cascades of the segments of a universe."""
+
+    def __init__(self, universe: DataFrame, max_words: int = MAX_WORDS):
+        n = universe.filter("listed").count()
+        self.n = max(1, -(-n * LEVEL_BITS[0] // (64 * max_words)))
+        own = self._segment(F.col("key"))
+        self.cascades = [Cascade.build(universe.filter(own == i)) for i in range(self.n)]
+
+    def _segment(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit("segment")), F.lit(self.n))
+
+    def listed(self, key: Column) -> Column:
+        out = self.cascades[0].listed(key)
+        for i in range(1, self.n):
+            out = F.when(self._segment(key) == i, self.cascades[i].listed(key)).otherwise(out)
+        return out
 
 
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, max_words: int = MAX_WORDS) -> DataFrame:
@@ -102,19 +120,14 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: Sequence
     hosts = pages.select(host_of(F.col(f"`{url}`")).alias("key")).withColumn("listed", F.lit(False))
     both = hosts.unionByName(listed.select(F.col("key"), F.lit(True).alias("listed")).filter("key IS NOT NULL"))
     universe = table(both.groupBy("key").agg(F.max("listed").alias("listed")), "url-universe")
-    cascade = Cascade.build(universe, max_words)
     host, path = F.col("__host"), F.col("__path")
     out = pages.withColumns({"__host": host_of(F.col(f"`{url}`")), "__path": path_of(F.col(f"`{url}`"))})
-    if cascade is None:
-        out = out.join(small(universe.filter("listed").select(F.col("key").alias("__host"), F.lit(True).alias("__listed"))), "__host", "left")
-        hit = F.coalesce(F.col("__listed"), F.lit(False))
-    else:
-        hit = cascade.listed(host)
+    hit = Segments(universe, max_words).listed(host)
     rule, verdict = F.lit(None).cast("string"), F.when(hit, "block").otherwise("allow")
     for kind, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, kind).otherwise(verdict)
-    return with_columns(out, {"host": host, "path": path, "rule": rule, "verdict": verdict}).drop("__host", "__path", "__listed")
+    return with_columns(out, {"host": host, "path": path, "rule": rule, "verdict": verdict}).drop("__host", "__path")
 
 
 def stand_in_list(pages: DataFrame) -> DataFrame:
