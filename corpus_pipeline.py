@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each over all that its predecessor kept."""
+"""The corpus pipeline: five stages, each over all that its predecessor kept.
+
+Rows are told apart by themselves, not by doc_id. Defined cases: null or empty texts fail the quality rules; rows without a doc_id
+or with a repeated one are documents of their own, and of a group of near duplicates the one with the smallest doc_id stays (null: the
+largest; the rows of one doc_id: any one of them); further columns are kept until the mix, which returns its own; an empty table gives
+an empty result, and so does an empty benchmark an unchanged corpus.
+"""
 
 from __future__ import annotations
 
@@ -30,16 +36,20 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each component of n-gram Jaccard links."""
-    found = jaccard.components(docs, n=NEAR_SHINGLE, percent=NEAR_PERCENT)
-    copies = table(found.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(small(copies), "doc_id", "left_anti").select(docs.columns)
+    rows = table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = jaccard.components(rows, doc_id="__row", n=NEAR_SHINGLE, percent=NEAR_PERCENT)
+    later = table(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__row"), "component_id"), "copies")
+    group = later.unionByName(later.select("component_id").distinct().withColumn("__row", F.col("component_id")))
+    ids = rows.select("__row", "doc_id").join(small(table(group, "groups")), "__row")
+    first = F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    kept = ids.groupBy("component_id").agg(first.alias("__row"))
+    gone = table(ids.select("__row").join(kept.select("__row"), "__row", "left_anti"), "gone")
+    return rows.join(small(gone), "__row", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontamination.contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = table(found.select("doc_id").distinct(), "leaks")
-    return docs.join(small(leaks), "doc_id", "left_anti").select(docs.columns)
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
