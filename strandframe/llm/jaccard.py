@@ -3,10 +3,10 @@
 Rows of the incidence matrix are distinct shingle sets: documents of equal sets are one row,
 named by 128 bits of hashes of the set, so exact copies never meet as pairs. Columns (hashed shingles) have one
 order for all rows, rare ones first, by a table of SLOTS counts that has the same size for any corpus. A row of
-size s enters the product with its first s - ceil(t * s) + COMMON columns: two sets at the threshold t share
-at least COMMON of those, whatever the order is. Columns are dealt to blocks; each
-block multiplies its part of the matrix, drops pairs beyond the size bound, and the counts of shared columns of a
-pair are accumulated over the blocks. Pairs with fewer than COMMON are dropped; the others are counted exactly, over whole rows.
+size s enters the product with its first s - ceil(t * s) + c(s) columns: two sets at the threshold t share
+at least c(the smaller size) of those, whatever the order is. c grows with s, for long sets share a few rare columns by chance.
+Columns are dealt to blocks; each block multiplies its part of the matrix, drops pairs beyond the size bound, and the counts of
+shared columns of a pair are accumulated over the blocks. Pairs with fewer than c are dropped; the others are counted exactly, over whole rows.
 
 A column of more than COOL rows is hot: its product would grow with the square of its rows. Its rows are one group
 instead (by classes of size). Links are found towards a hub of the group, then, for groups that
@@ -28,18 +28,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import packed
-from .common import small, table
+from . import packed, repeats
+from .common import discard, small, table
 from .ragged import ASCII_LOWER, IS_SPACE, Texts, grams, mix, pieces, span_hashes, split_words, WORD_BASE
 
 SHINGLE, PERCENT = 3, 90
 _SALT = np.uint64(0x2545F4914F6CDD1D)
-#: Prefix columns that linked sets share; rows from which on a column is hot; slots of the table that orders columns.
-COMMON, COOL, SLOTS = 3, 12, 1 << 17
+#: Prefix columns that linked sets share, at least and one more for so many of their size; rows from which on a column is hot; slots of the table that orders columns.
+COMMON, COMMON_PER, COOL, SLOTS = 3, 32, 32, 1 << 17
 #: Counters of a sketch; rounds of stars between components; rows of a block of compared sketches.
 SKETCH, STARS, BLOCK = 128, 3, 2048
 #: Entries of columns a worker gathers before it sends them on; entries of rows counted at once (one cell at least).
-FLUSH, CELL_ENTRIES = 250_000, 250_000
+FLUSH, CELL_ENTRIES = 500_000, 250_000
 
 
 def shingle_sets(texts: Texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +128,10 @@ def column_ranks(sets: DataFrame) -> np.ndarray:
     return np.minimum(4 * np.log2(1 + total), 255).astype(np.uint8)
 
 
-def common_columns(percent: int) -> int:
-    """Prefix columns that two different linked sets share at least: COMMON, or fewer where small sets can link with fewer."""
-    return COMMON if percent >= 100 else max(1, min(COMMON, -(-percent // (100 - percent))))
+def common_columns(size: np.ndarray, percent: int) -> np.ndarray:
+    """Prefix columns that two different linked sets share at least, by the smaller size. No set can link with fewer common columns in all."""
+    least = COMMON if percent >= 100 else max(1, min(COMMON, -(-percent // (100 - percent))))
+    return np.minimum(least + size // COMMON_PER, np.maximum(size * percent // 100, 1))
 
 
 def prefix_entries(size: np.ndarray, hashes: np.ndarray, ranks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +139,7 @@ def prefix_entries(size: np.ndarray, hashes: np.ndarray, ranks: np.ndarray, perc
     owner = np.repeat(np.arange(len(size)), size)
     order = np.argsort(owner << 8 | ranks[(hashes >> np.uint64(40)).astype(np.int64) % SLOTS], kind="stable")  # within a rank by hash
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    kept = nth < np.repeat(size + (-size * percent) // 100 + common_columns(percent), size)
+    kept = nth < np.repeat(size + (-size * percent) // 100 + common_columns(size, percent), size)
     return owner[kept], hashes[order][kept]
 
 
@@ -155,85 +156,104 @@ def _hot_rows(column: np.ndarray, name: np.ndarray, size: np.ndarray, percent: i
     level = size_class(size, percent).astype(np.uint64)
     group = np.concatenate([mix(column ^ mix(level + np.uint64(step))) for step in (1, 2)])
     n = len(group)
-    return pa.table({"g": group.view(np.int64), "a": blobs(np.concatenate((name, name))), "b": pa.nulls(n, pa.binary()), "n": pa.nulls(n, pa.int32())})
+    return pa.table({"g": group.view(np.int64), "a": blobs(np.concatenate((name, name))), "b": pa.nulls(n, pa.binary()), "n": pa.nulls(n, pa.int32()), "least": pa.nulls(n, pa.int32())})
 
 
 def column_entries(docs: DataFrame, n: int, percent: int, ranks: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, c0: columns, c1: names, c2: sizes): prefix entries dealt by column. Columns found hot within a flush stay where
-    they lie, in bucket -1, and leave one entry of size 0 in their bucket as a mark."""
+    """(bucket, c0: columns, c1: names, c2: sizes, c3: columns of each set): prefix entries dealt by column, set by set. Columns found
+    hot within a flush stay where they lie, in bucket -1, and leave one entry of a set of size 0 in their bucket as a mark."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def flush(column, name, size):
-        order = np.argsort(column, kind="stable")
-        column, name, size = column[order], name[order], size[order]
-        starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
-        many = np.diff(np.append(starts, len(column)))
-        hot = np.repeat(many > COOL, many)
+    def row(bucket, column, of, name, size):
+        head = np.flatnonzero(np.diff(of, prepend=-1))
+        sets = of[head]
+        each = np.diff(np.append(head, len(of)))
+        return [bucket, repeats._cut(column).tobytes(), name[sets].tobytes(), size[sets].tobytes(), each.astype(np.uint32).tobytes()]
+
+    def flush(column, of, name, size):
+        column = column >> np.uint64(16) << np.uint64(16)
+        by = np.argsort(column, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], column[by[1:]] != column[by[:-1]])))
+        many = np.diff(np.append(starts, len(by)))
+        hot = np.zeros(len(by), bool)
+        hot[by] = np.repeat(many > COOL, many)
+        rows = []
         if hot.any():
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([x[hot].tobytes()], pa.binary()) for x in (column, name, size)]], names=["bucket", "c0", "c1", "c2"])
-            marks = starts[many > COOL]
-            size = size.copy()
-            size[marks] = 0
-            hot[marks] = False
-        yield from packed.dealt(column[~hot], [column[~hot], name[~hot], size[~hot]], buckets)
+            rows.append(row(-1, column[hot], of[hot], name, size))
+            marks = column[by[starts[many > COOL]]]
+            column, of = np.concatenate((column[~hot], marks)), np.concatenate((of[~hot], np.full(len(marks), len(name))))
+            name, size = np.concatenate((name, np.zeros((1, 2), np.uint64))), np.append(size, np.uint32(0))
+        bucket = (((column >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        by = np.lexsort((of, bucket))
+        for lo, hi in repeats._runs(bucket[by]):
+            some = by[lo:hi]
+            rows.append(row(int(bucket[some[0]]), column[some], of[some], name, size))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(5)], names=["bucket", "c0", "c1", "c2", "c3"])
 
     def scan(batches):
-        columns, names, sizes, held, seen = [], [], [], 0, set()
+        columns, owners, names, sizes, held, sets, seen = [], [], [], [], 0, 0, set()
         for batch in batches:
             for t in pieces(batch.column(1)):
                 _, size, name, hashes = named_sets(t, n)
-                keys, fresh = name[:, 0].tolist(), np.zeros(len(name), bool)
-                for i, k in enumerate(zip(keys, name[:, 1].tolist(), strict=True)):  # copies in this flush are sent once
+                fresh = np.zeros(len(name), bool)
+                for i, k in enumerate(map(tuple, name.tolist())):  # copies in this flush are sent once
                     fresh[i] = k not in seen
                     seen.add(k)
                 owner, column = prefix_entries(size[fresh], hashes[np.repeat(fresh, size)], sent.value, percent)
                 columns.append(column)
-                names.append(name[fresh][owner])
-                sizes.append(size[fresh][owner].astype(np.uint32))
+                owners.append(owner + sets)
+                names.append(name[fresh])
+                sizes.append(size[fresh].astype(np.uint32))
                 held += len(column)
+                sets += len(sizes[-1])
                 if held >= FLUSH:
-                    yield from flush(*map(np.concatenate, (columns, names, sizes)))
-                    columns, names, sizes, held, seen = [], [], [], 0, set()
+                    yield from flush(*map(np.concatenate, (columns, owners, names, sizes)))
+                    columns, owners, names, sizes, held, sets, seen = [], [], [], [], 0, 0, set()
         if held:
-            yield from flush(*map(np.concatenate, (columns, names, sizes)))
+            yield from flush(*map(np.concatenate, (columns, owners, names, sizes)))
         packed.give_back()
 
-    return docs.mapInArrow(scan, packed.schema(3))
+    return docs.mapInArrow(scan, packed.schema(4))
 
 
-CELLS = "g long, a binary, b binary, n int"
+CELLS = "g long, a binary, b binary, n int, least int"
 
 
-def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return packed.column(table, 0, np.uint64), packed.column(table, 1, np.uint64).reshape(-1, 2), packed.column(table, 2, np.uint32).astype(np.int64)
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(columns, set of each, names, sizes) of packed rows."""
+    name, size, each = packed.column(table, 1, np.uint64).reshape(-1, 2), packed.column(table, 2, np.uint32), packed.column(table, 3, np.uint32)
+    return repeats._uncut(b"".join(table["c0"].to_pylist())), np.repeat(np.arange(len(each)), each), name, size.astype(np.int64)
 
 
 def multiplied(group: pa.Table, percent: int) -> pa.Table:
-    """The product of one block of columns: pairs (a, b) and the number n of columns of the block that they share; members of hot columns as (g, a)."""
-    column, name, size = _entries(group)
-    order = np.lexsort((name[:, 1], name[:, 0], column))
-    column, name, size = column[order], name[order], size[order]
+    """The product of one block of columns: pairs (a, b), the number n of columns of the block that they share and the least number in all; members of hot columns as (g, a)."""
+    column, of, name, size = _entries(group)
+    distinct, number = _numbered(name)
+    sizes = np.zeros(len(distinct), np.int64)
+    sizes[number] = size
+    number = number[of]
+    order = np.lexsort((number, column))
+    column, number = column[order], number[order]
     head = np.ones(len(column), bool)
     head[1:] = column[1:] != column[:-1]
-    of = np.cumsum(head) - 1
-    marked = np.bincount(of, weights=size == 0) > 0
-    # a mark took the size of its row: the row itself lies with the hot ones
-    new = np.concatenate(([True], head[1:] | (name[1:] != name[:-1]).any(1))) & (size > 0)
-    column, name, size, of = column[new], name[new], size[new], of[new]
-    hot = marked | (np.bincount(of, minlength=len(marked)) > COOL)
-    out = [_hot_rows(column[hot[of]], name[hot[of]], size[hot[of]], percent)]
-    cool = ~hot[of]
-    name, size, of = name[cool], size[cool], of[cool]
-    distinct, number = _numbered(name)
-    left, right = [], []
+    new = head.copy()
+    new[1:] |= number[1:] != number[:-1]
+    of, mark = np.cumsum(head) - 1, sizes[number] == 0
+    hot = np.bincount(of, weights=mark) > 0
+    new &= ~mark
+    column, number, of = column[new], number[new], of[new]
+    hot |= np.bincount(of, minlength=len(hot)) > COOL
+    out = [_hot_rows(column[hot[of]], distinct[number[hot[of]]], sizes[number[hot[of]]], percent)]
+    number, of = number[~hot[of]], of[~hot[of]]
+    size, pairs = sizes[number], []
     for step in range(1, COOL):
         i = np.flatnonzero(of[step:] == of[:-step]) if len(of) > step else np.zeros(0, np.int64)
         i = i[np.minimum(size[i], size[i + step]) * 100 >= np.maximum(size[i], size[i + step]) * percent]
-        left.append(number[i])
-        right.append(number[i + step])
-    pair, shared = np.unique(np.concatenate(left) * len(distinct) + np.concatenate(right), return_counts=True)
-    a, b = np.divmod(pair, max(len(distinct), 1))
-    out.append(pa.table({"g": pa.nulls(len(pair), pa.int64()), "a": blobs(distinct[a]), "b": blobs(distinct[b]), "n": shared.astype(np.int32)}))
+        pairs.append(number[i] * len(distinct) + number[i + step])
+    pair, shared = np.unique(np.concatenate(pairs), return_counts=True)
+    a, b = np.divmod(pair, len(distinct))
+    least = common_columns(np.minimum(sizes[a], sizes[b]), percent)
+    out.append(pa.table({"g": pa.nulls(len(pair), pa.int64()), "a": blobs(distinct[a]), "b": blobs(distinct[b]), "n": shared.astype(np.int32), "least": least.astype(np.int32)}))
     packed.give_back()
     return pa.concat_tables(out)
 
@@ -245,28 +265,40 @@ def product(docs: DataFrame, n: int, percent: int, ranks: np.ndarray, buckets: i
     def spread(batches):
         for batch in batches:
             for row in range(len(batch)):
-                yield from _hot_rows(*_entries(pa.Table.from_batches([batch.slice(row, 1)])), percent).to_batches()
+                column, of, name, size = _entries(pa.Table.from_batches([batch.slice(row, 1)]))
+                yield from _hot_rows(column, name[of], size[of], percent).to_batches()
 
     cells = table(packed.by_bucket(entries.filter("bucket >= 0"), lambda g: multiplied(g, percent), CELLS), "jaccard-product")
     near = entries.filter("bucket < 0").mapInArrow(spread, CELLS)
-    pairs = cells.filter("g IS NULL").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= common_columns(percent))
+    pairs = cells.filter("g IS NULL").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("least").alias("least")).filter("n >= least").drop("least")
     members = cells.filter("g IS NOT NULL").unionByName(near).select("g", F.col("a").alias("name")).distinct()
     members = table(members, "jaccard-members")
+    pairs = table(pairs, "jaccard-pairs")
+    discard(entries, cells)
     # groups of the same members once
     same = members.groupBy("g").agg(F.sum(F.xxhash64("name").cast("decimal(38,0)")).alias("s"), F.count("*").alias("c")).filter("c > 1")
     once = same.groupBy("s", "c").agg(F.min("g").alias("g")).select("g")
-    return table(pairs, "jaccard-pairs"), table(members.join(once, "g"), "jaccard-groups")
+    return pairs, table(members.join(once, "g"), "jaccard-groups")
 
 
 def rows_of(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
     """(name, row) of the named sets: their hashes, sorted."""
-    wanted = small(table(names, "jaccard-wanted"))
+    names = table(names, "jaccard-wanted")
+    wanted, sent = small(names), None
+    if wanted is not names:  # few enough to leave the others out before rows are made
+        high = names.select(F.conv(F.hex(F.substring("name", 1, 8)), 16, -10).cast("long").alias("h")).toArrow().column("h")
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(high).view(np.uint64)))
 
     def scan(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for t in pieces(batch.column(1)):
                 _, size, name, hashes = named_sets(t, n)
                 which = np.unique(_numbered(name)[1], return_index=True)[1]
+                if sent is not None:
+                    which = which[np.isin(name[which, 0], sent.value)]
+                    which = np.array([i for i, k in zip(which.tolist(), map(tuple, name[which].tolist()), strict=True) if k not in seen], np.int64)
+                    seen.update(map(tuple, name[which].tolist()))
                 yield pa.RecordBatch.from_arrays([blobs(name[which]), pa.array(_cut_sets(which, size, hashes), pa.binary())], names=["name", "row"])
         packed.give_back()
 
@@ -357,10 +389,11 @@ def connected(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("r"), F.col(c).alias("v"))
         step = both.groupBy("a").agg(F.min(rank("b")).alias("near")).select("a", F.least("near", rank("a"))["v"].alias("to"))
-        step = table(step, f"step-{k}")
+        old, step = (edges, roots), table(step, f"step-{k}")
         at = lambda c, d: step.select(F.col("a").alias(c), F.col("to").alias(d))
         edges = table(edges.join(at("a", "x"), "a").join(at("b", "y"), "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"edges-{k}")
         roots = table(roots.join(at("root", "to"), "root", "left").select("name", F.coalesce("to", "root").alias("root")), f"roots-{k}")
+        discard(step, old[1], *([old[0]] if k else []))
     raise RuntimeError("components did not converge")
 
 
@@ -428,7 +461,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     every = table(sets_of(slim, n), "jaccard-sets")
     sets = every.filter("counts IS NULL").select("doc_id", "n_shingles", "name")
-    entries = sets.agg(F.sum(F.floor(F.col("n_shingles") * (100 - percent) / 100) + COMMON)).first()[0] or 0
+    entries = sets.agg(F.sum(F.floor(F.col("n_shingles") * (100 - percent) / 100 + F.col("n_shingles") / COMMON_PER) + COMMON)).first()[0] or 0
     buckets = 2 * packed.n_buckets(entries, 28)  # half-size buckets: multiplied() holds several copies of one
     roots = linked_sets(slim, n, percent, column_ranks(every), buckets)
     named = sets.join(small(roots), "name", "left").withColumn("root", F.coalesce("root", "name"))
