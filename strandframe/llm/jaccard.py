@@ -37,7 +37,7 @@ _SALT = np.uint64(0x2545F4914F6CDD1D)
 #: Prefix columns that linked sets share, at least and one more for so many of their size; rows from which on a column is hot; slots of the table that orders columns.
 COMMON, COMMON_PER, COOL, SLOTS = 3, 32, 32, 1 << 17
 #: Counters of a sketch; rounds of stars between components; rows of a block of compared sketches.
-SKETCH, STARS, BLOCK = 128, 3, 2048
+SKETCH, STARS, BLOCK = 128, 1, 2048
 #: Entries of columns a worker gathers before it sends them on; entries of rows counted at once (one cell at least).
 FLUSH, CELL_ENTRIES = 500_000, 250_000
 
@@ -381,19 +381,25 @@ def near_cells(members: DataFrame, percent: int) -> DataFrame:
 
 
 def connected(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(name, root) for the ends of the written table links: contraction towards the neighbour of least priority, redrawn every round."""
-    edges, roots = links, table(links.select(F.explode(F.array("a", "b")).alias("name")).distinct().select("name", F.col("name").alias("root")), "roots")
+    """(name, root) for the ends of the written table links: contraction towards the neighbour of most links (of equals by a hash redrawn every round)."""
+    edges, roots = links, None
     for k in range(max_rounds):
+        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        degree = both.groupBy("a").agg(F.count("*").alias("d"))
+        rank = lambda c: F.struct("d", F.xxhash64(F.col(c), F.lit(k)).alias("r"), F.col(c).alias("v"))  # noqa: E731, B023
+        degree = table(degree, f"degree-{k}")
+        near = both.join(degree.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max(rank("b")).alias("near"))
+        step = table(near.join(degree, "a").select("a", F.greatest("near", rank("a"))["v"].alias("to")), f"step-{k}")
+        at = lambda c, d: step.select(F.col("a").alias(c), F.col("to").alias(d))  # noqa: E731, B023
+        left = table(edges.join(at("a", "x"), "a").join(at("b", "y"), "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"edges-{k}")
+        old = [degree, *([edges, roots, step] if k else [])]
+        roots = step.select(F.col("a").alias("name"), F.col("to").alias("root")) if roots is None else table(roots.join(at("root", "to"), "root", "left").select("name", F.coalesce("to", "root").alias("root")), f"roots-{k}")
+        if k == 0:
+            roots.written_to = step.written_to
+        discard(*old)
+        edges = left
         if edges.isEmpty():
             return roots
-        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("r"), F.col(c).alias("v"))
-        step = both.groupBy("a").agg(F.min(rank("b")).alias("near")).select("a", F.least("near", rank("a"))["v"].alias("to"))
-        old, step = (edges, roots), table(step, f"step-{k}")
-        at = lambda c, d: step.select(F.col("a").alias(c), F.col("to").alias(d))
-        edges = table(edges.join(at("a", "x"), "a").join(at("b", "y"), "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"edges-{k}")
-        roots = table(roots.join(at("root", "to"), "root", "left").select("name", F.coalesce("to", "root").alias("root")), f"roots-{k}")
-        discard(step, old[1], *([old[0]] if k else []))
     raise RuntimeError("components did not converge")
 
 
@@ -433,8 +439,7 @@ def linked_sets(docs: DataFrame, n: int, percent: int, ranks: np.ndarray, bucket
     degree = members.groupBy("name").agg(F.count("*").alias("d"))
     hubs = members.join(degree, "name").groupBy("g").agg(F.max(F.struct("d", F.xxhash64("name").alias("r"), "name"))["name"].alias("hub"))
     cells = _cells(best, "a", "b").unionByName(_cells(members.join(hubs, "g"), "hub", "name")).distinct()
-    cells = done = table(cells, "jaccard-cells")
-    roots = joined_by(None, overlap_links(cells, rows, percent))
+    roots = joined_by(None, overlap_links(table(cells, "jaccard-cells"), rows, percent))
     for k in range(STARS + 1):
         at = lambda c, d: roots.select(F.col("name").alias(c), F.col("root").alias(d))  # noqa: E731, B023
         members = apart(members, roots)
@@ -449,9 +454,8 @@ def linked_sets(docs: DataFrame, n: int, percent: int, ranks: np.ndarray, bucket
             star = _cells(members.join(part, "g").filter("root <> top"), "hub", "name")
         else:
             star = near_cells(members.join(with_sketches(rows), "name"), percent)
-        cells = table((cells.unionByName(star) if k == 0 else star).distinct().join(done, ["a", "b"], "left_anti"), "jaccard-cells")
+        cells = table((cells.unionByName(star) if k == 0 else star).distinct(), "jaccard-cells")
         if not cells.isEmpty():
-            done = table(done.unionByName(cells), "jaccard-done")
             roots = joined_by(roots, overlap_links(cells, rows, percent))
     return roots
 
