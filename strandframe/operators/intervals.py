@@ -33,11 +33,11 @@ def overlap_join(rows: DataFrame, ranges: DataFrame, mode: str = "outer", how: s
     first, last = lambda p: F.floor(F.col(f"{p}start") / bucket), lambda p: F.floor(F.greatest(f"{p}start", f"{p}end") / bucket)
 
     def spread(df: DataFrame, p: str) -> DataFrame:
-        return df.withColumn(f"{p}first", first(p)).filter(last(p) - first(p) < WIDE).withColumn("bucket", F.explode(F.sequence(f"{p}first", last(p))))
+        return df.withColumn(f"__{p}first", first(p)).filter(last(p) - first(p) < WIDE).withColumn(f"__{p}bucket", F.explode(F.sequence(f"__{p}first", last(p))))
 
     left, both = rows.withColumnsRenamed({}), F.col("chromosome") == F.col("r_chromosome")
-    near = spread(left, "").join(spread(right, "r_").withColumnRenamed("bucket", "r_bucket"), both & (F.col("bucket") == F.col("r_bucket")) & _fits(mode, "", "r_"))
-    near = near.filter(F.col("bucket") == F.greatest("first", "r_first"))
+    near = spread(left, "").join(spread(right, "r_"), both & (F.col("__bucket") == F.col("__r_bucket")) & _fits(mode, "", "r_"))
+    near = near.filter(F.col("__bucket") == F.greatest("__first", "__r_first"))
     names = [*rows.columns, *right.columns]
     wide, r_wide = last("") - first("") >= WIDE, last("r_") - first("r_") >= WIDE
     pairs = near.select(names)

@@ -165,7 +165,7 @@ query("rp_instability", "SELECT (sum(\"end\" - \"start\") FILTER (cn <> 2))::DOU
 query("rp_breaks", """, j AS (SELECT chromosome, "end" AS at, log2, lead(log2) OVER w AS after, lead("start") OVER w AS nxt FROM segs WINDOW w AS (PARTITION BY chromosome ORDER BY "start")),
 g AS (SELECT chromosome, gene, min("start") AS s, max("end") AS e FROM bins WHERE gene <> 'Antitarget' GROUP BY 1, 2)
 SELECT g.chromosome, g.gene, j.at, round(after - log2, 6) AS change, (SELECT count(*) FROM bins b WHERE b.chromosome = g.chromosome AND b.gene = g.gene AND b."start" < j.at) AS probes_left, (SELECT count(*) FROM bins b WHERE b.chromosome = g.chromosome AND b.gene = g.gene AND b."start" >= j.at) AS probes_right
-FROM j JOIN g ON g.chromosome = j.chromosome AND j.at > s AND j.at < e WHERE after IS NOT NULL AND j.at % 800000 = 40000""".replace(", j AS", "SELECT * FROM (WITH j AS", 1) + ")", B, S)(
+FROM j JOIN g ON g.chromosome = j.chromosome AND j.at > s AND j.at < e WHERE after IS NOT NULL""".replace(", j AS", "SELECT * FROM (WITH j AS", 1) + ")", B, S)(
     lambda s, d: rounded(reports.breaks(bins(s, d), segs(s, d)), "change"))
 query("ex_bed", """SELECT chromosome, "start", "end", 'S' AS label, cn FROM called WHERE cn <> CASE WHEN chromosome = 'chrY' THEN 0 ELSE 2 END""", S, CALLED)(lambda s, d: reports.export_bed(called(s, d), "S"))
 query("ex_seg", """SELECT sample_id AS id, chromosome AS chrom, "start" + 1 AS loc_start, "end" AS loc_end, probes AS num_mark, round(log2, 6) AS seg_mean FROM (SELECT *, 'S' AS sample_id FROM called)""", S, CALLED)(

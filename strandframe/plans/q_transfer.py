@@ -39,7 +39,7 @@ def import_theta(spark, d):
 
 
 THETA = f"""WITH {S}, auto AS (SELECT *, row_number() OVER (ORDER BY CAST(regexp_extract(chromosome, '[0-9]+') AS INTEGER), "start", "end") - 1 AS row FROM segs WHERE regexp_matches(chromosome, '^chr[0-9]+$')),
-theta AS (SELECT s AS solution, i AS row, CASE WHEN i % 7 <> 0 THEN (i + s) % 5 END AS copies FROM range(4000) t(i), range(2) u(s))
+theta AS (SELECT s AS solution, i AS row, CASE WHEN i % 7 <> 0 THEN (i + s) % 5 END AS copies FROM (SELECT row FROM auto) t(i), range(2) u(s))
 SELECT CAST(solution AS INTEGER) AS solution, chromosome, "start", "end", seg_id, copies AS cn, round(log2(greatest(copies, 0.5) / 2), 6) AS log2 FROM auto JOIN theta USING (row) WHERE copies IS NOT NULL"""
 
 QUERIES = {"wf_transfer_fields": transfer_fields, "cl_import_theta": import_theta}
