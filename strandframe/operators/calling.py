@@ -76,14 +76,15 @@ def shift_xx(log2: Column, haploid_x: bool, female: bool) -> Column:
     return log2 + F.when(_on("X"), shift).otherwise(0.0)
 
 
-def squash_runs(df: DataFrame, level: Column, order: list[str]) -> DataFrame:
-    """Neighbouring segments of a chromosome with one level as one: weighted means, summed probes and weights."""
-    w = Window.partitionBy("chromosome").orderBy(*order)
+def squash_runs(df: DataFrame, level: Column, order: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Neighbouring segments of a chromosome (and sample, by ``keys``) with one level as one: weighted means, summed probes and weights."""
+    keys = [*(keys or []), "chromosome"]
+    w = Window.partitionBy(*keys).orderBy(*order)
     rows = df.withColumn("__level", level)
     new = F.lag("__level").over(w).isNotNull() & F.col("__level").isNotNull() & (F.lag("__level").over(w) != F.col("__level"))
     rows = rows.withColumn("__run", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     means = {c: stats.weighted_mean(c, "weight") for c in ("log2", "depth", "baf") if c in df.columns}
-    return rows.groupBy("chromosome", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *[v.alias(k) for k, v in means.items()], F.sum("weight").alias("weight"), F.sum("probes").alias("probes")).drop("__run")
+    return rows.groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *[v.alias(k) for k, v in means.items()], F.sum("weight").alias("weight"), F.sum("probes").alias("probes")).drop("__run")
 
 
 def ampdel_level() -> Column:
@@ -91,6 +92,6 @@ def ampdel_level() -> Column:
     return F.when(F.col("cn") == 0, -1).when(F.col("cn") >= 5, 1).otherwise(0)
 
 
-def neutral_level(neutral: Column, order: list[str]) -> Column:
+def neutral_level(neutral: Column, order: list[str], keys: list[str] | None = None) -> Column:
     """0 for neutral segments, a level of its own for every other."""
-    return F.when(neutral, 0).otherwise(F.row_number().over(Window.partitionBy("chromosome").orderBy(*order)))
+    return F.when(neutral, 0).otherwise(F.row_number().over(Window.partitionBy(*(keys or []), "chromosome").orderBy(*order)))

@@ -61,19 +61,20 @@ def instability(segments: DataFrame, ploidy: int = 2) -> DataFrame:
     return rows.agg((F.sum(F.when(changed, size)) / F.sum(size)).alias("fraction"), F.sum(changed.cast("long")).alias("n"))
 
 
-def breaks(bins: DataFrame, segments: DataFrame) -> DataFrame:
-    """Ends of segments that fall within a gene, with the change in log2 and the gene's bins on either side."""
-    w = Window.partitionBy("chromosome").orderBy("start")
+def breaks(bins: DataFrame, segments: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Ends of segments (of a sample, by ``keys`` of the segments) that fall within a gene, with the change in log2 and the gene's bins on either side."""
+    keys = keys or []
+    w = Window.partitionBy(*keys, "chromosome").orderBy("start")
     ends = segments.withColumns({"after": F.lead("log2").over(w)}).filter("after IS NOT NULL")
-    ends = ends.select("chromosome", F.col("end").alias("start"), (F.col("end") + 1).alias("end"), (F.col("after") - F.col("log2")).alias("change")).distinct()
+    ends = ends.select(*keys, "chromosome", F.col("end").alias("start"), (F.col("end") + 1).alias("end"), (F.col("after") - F.col("log2")).alias("change")).distinct()
     named = bins.filter(~F.col("gene").isin(*ANTITARGETS, *IGNORED))
     genes = named.groupBy("chromosome", "gene").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
-    hits = overlap_join(ends, genes).filter("start > r_start").select("chromosome", F.col("r_gene").alias("gene"), F.col("start").alias("at"), "change", F.col("r_n").alias("n"))
+    hits = overlap_join(ends, genes).filter("start > r_start").select(*keys, "chromosome", F.col("r_gene").alias("gene"), F.col("start").alias("at"), "change", F.col("r_n").alias("n"))
     # breaks among their gene's bins in one order, each before a bin that starts there: a running count, no pairs of breaks and bins
     rows = hits.unionByName(named.select("chromosome", "gene", F.col("start").alias("at")), allowMissingColumns=True)
     before = Window.partitionBy("chromosome", "gene").orderBy("at", F.col("n").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("probes_left", F.sum(F.col("n").isNull().cast("long")).over(before)).filter("n IS NOT NULL")
-    return rows.select("chromosome", "gene", "at", "change", "probes_left", (F.col("n") - F.col("probes_left")).alias("probes_right"))
+    return rows.select(*keys, "chromosome", "gene", "at", "change", "probes_left", (F.col("n") - F.col("probes_left")).alias("probes_right"))
 
 
 def gistic_markers(df: DataFrame) -> DataFrame:

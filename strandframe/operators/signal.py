@@ -35,9 +35,9 @@ def residuals_by_segment(df: DataFrame, segments: DataFrame, key: str) -> DataFr
     return pairs.withColumn("residual", F.col("log2") - F.col("r_log2")).withColumnRenamed(f"r_{key}", key).select(*df.columns, key, "residual")
 
 
-def edge_bias(df: DataFrame, order: list[str], insert: int = INSERT_SIZE) -> DataFrame:
-    """df with ``edge``: coverage gained from close neighbours less what runs over the bin's own ends."""
-    w = Window.partitionBy("chromosome").orderBy(*order)
+def edge_bias(df: DataFrame, order: list[str], insert: int = INSERT_SIZE, keys: list[str] | None = None) -> DataFrame:
+    """df with ``edge``: coverage gained from close neighbours (of the same sample, by ``keys``) less what runs over the bin's own ends."""
+    w = Window.partitionBy(*(keys or []), "chromosome").orderBy(*order)
     t, i = (F.col("end") - F.col("start")).cast("double"), float(insert)
     loss = i / (2 * t) - F.when(t < i, F.pow(i - t, 2) / (2 * i * t)).otherwise(0.0)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,21 +62,38 @@ def bin_size(depth: float, per_bin: float = 1e5, least: int = 20, most: int = 50
     return int(min(max(round(per_bin / depth), least), most)) if depth > 0 else most
 
 
-def reference(samples: DataFrame, haploid_x: bool = False) -> DataFrame:
-    """Pooled reference per bin: biweight centre of log2 with a flat sample beside the others, and of depth; the spread about it."""
+def reference(samples: DataFrame, haploid_x: bool = False, female: list[str] | None = None) -> DataFrame:
+    """Pooled reference per bin: biweight centre of log2, of the samples beside a flat one, and of depth; the spread of log2 about it.
+
+    Samples are centred, moved to the flat expectation, and their sex chromosomes made comparable: a female's Y is set to -1,
+    a male's X and Y are raised by 1. female: the ids of female samples; None for all.
+    """
+    from .calling import expect_flat
+
     keys = ["chromosome", "start", "end", "gene"]
+    name = F.upper(chrom.bare(F.col("chromosome")))
+    is_female = F.lit(True) if female is None else F.col("sample_id").isin(female)
+    log2 = F.col("log2") + F.col("flat")
+    log2 = F.when(is_female & (name == "Y"), -1.0).when(~is_female & name.isin("X", "Y"), log2 + 1).otherwise(log2)
+    rows = center_all(samples, ["sample_id"]).withColumn("flat", expect_flat(haploid_x)).withColumn("log2", log2)
 
     @F.pandas_udf("log2 double, depth double, spread double")
     def pooled(log2: pd.Series, depth: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, d in zip(log2, depth, strict=True):
-            x = [0.0, *x]
-            centre = kn.biweight_location(x)
-            out.append((centre, kn.biweight_location(d), kn.biweight_midvariance(x, centre)))
+        out = np.full((len(log2), 3), np.nan)
+        size = log2.map(len).to_numpy()
+        for k in np.unique(size):  # bins of as many samples are one table
+            at = np.flatnonzero(size == k)
+            x = np.stack([log2.iloc[i] for i in at]).astype(float)
+            out[at, 0] = kn.biweight_locations(x)
+            out[at, 2] = kn.biweight_spreads(x, out[at, 0])
+        size = depth.map(len).to_numpy()
+        for k in np.unique(size[size > 0]):
+            at = np.flatnonzero(size == k)
+            out[at, 1] = kn.biweight_locations(np.stack([depth.iloc[i] for i in at]).astype(float))
         return pd.DataFrame(out, columns=["log2", "depth", "spread"])
 
     # one array a bin, as long as there are samples
-    rows = center_all(samples, ["sample_id"]).groupBy(*keys).agg(F.array_sort(F.collect_list("log2")).alias("x"), F.array_sort(F.collect_list("depth")).alias("d"))
+    rows = rows.groupBy(*keys).agg(F.concat(F.array(F.first("flat")), F.array_sort(F.collect_list("log2"))).alias("x"), F.array_sort(F.collect_list("depth")).alias("d"))
     return rows.select(*keys, pooled("x", "d").alias("p")).select(*keys, "p.*")
 
 
@@ -89,7 +107,7 @@ def fix(sample: DataFrame, ref: DataFrame, fraction: float = 0.1) -> DataFrame:
     """A sample's log2 ratios: centred, corrected for GC (if the reference has it) and edges, less the reference, weighted by size and spread."""
     keys = ["chromosome", "start", "end", "gene"]
     rows = sample.join(ref.select(*keys, F.col("log2").alias("ref_log2"), "spread", *(["gc"] if "gc" in ref.columns else [])), keys)
-    rows = edge_bias(center_all(rows, ["sample_id"]).withColumn("chromosome", F.col("chromosome")), ["start", "end", "gene", "log2"])
+    rows = edge_bias(center_all(rows, ["sample_id"]), ["start", "end", "gene", "log2"], keys=["sample_id"])
     for key in ("gc", "edge"):
         if key in rows.columns:
             rows = center_by_key(rows, "sample_id", key, fraction)

@@ -41,7 +41,7 @@ def as_text(df: DataFrame, fmt: str = "tab") -> DataFrame:
     raise ValueError(f"no such format: {fmt}")
 
 
-def write(df: DataFrame, path: str, fmt: str = "tab", single: bool = True) -> None:
-    """df as a folder of text files; one file with ``single``, which is for what a person reads."""
+def write(df: DataFrame, path: str, fmt: str = "tab", single: bool = False) -> None:
+    """df as a folder of text files; one file, written by one task, with ``single``, which is for what a person reads."""
     out = as_text(ordered(df), fmt)
     (out.coalesce(1) if single else out).write.mode("overwrite").csv(path, sep="\t", header=fmt in ("tab", "seg"), emptyValue="")
