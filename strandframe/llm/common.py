@@ -56,6 +56,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished jobs now; it learns of them only when the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
 def _bytes(df: DataFrame) -> Column:
     """About the bytes that a row of df takes once it is broadcast."""
     wide = {"string": F.octet_length, "binary": F.octet_length}

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed, repeats
-from .common import discard, small, table
+from .common import discard, small, table, tidy
 from .ragged import ASCII_LOWER, IS_SPACE, Texts, grams, mix, pieces, span_hashes, split_words, WORD_BASE
 
 SHINGLE, PERCENT = 3, 90
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 #: Prefix columns that linked sets share, at least and one more for so many of their size; rows from which on a column is hot; slots of the table that orders columns.
-COMMON, COMMON_PER, COOL, SLOTS = 3, 32, 32, 1 << 17
+COMMON, COMMON_PER, COOL, SLOTS = 3, 64, 32, 1 << 17
 #: Counters of a sketch; rounds of stars between components; rows of a block of compared sketches.
 SKETCH, STARS, BLOCK = 128, 1, 2048
 #: Entries of columns a worker gathers before it sends them on; entries of rows counted at once (one cell at least).
@@ -275,6 +275,7 @@ def product(docs: DataFrame, n: int, percent: int, ranks: np.ndarray, buckets: i
     members = table(members, "jaccard-members")
     pairs = table(pairs, "jaccard-pairs")
     discard(entries, cells)
+    tidy(docs.sparkSession)
     # groups of the same members once
     same = members.groupBy("g").agg(F.sum(F.xxhash64("name").cast("decimal(38,0)")).alias("s"), F.count("*").alias("c")).filter("c > 1")
     once = same.groupBy("s", "c").agg(F.min("g").alias("g")).select("g")
@@ -303,14 +304,16 @@ def rows_of(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
         packed.give_back()
 
     found = docs.mapInArrow(scan, "name binary, row binary").join(wanted, "name")
-    return table(found.groupBy("name").agg(F.first("row").alias("row")), "jaccard-rows")
+    rows = table(found.groupBy("name").agg(F.first("row").alias("row")), "jaccard-rows")
+    tidy(docs.sparkSession)
+    return rows
 
 
 def overlap_links(cells: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Those (a, b) of the written table cells whose sets are similar enough, by exact overlap counts."""
-    size = F.octet_length("row")
-    both = cells.select("a", "b").join(rows.select(F.col("name").alias("a"), F.col("row").alias("ra"), size.alias("na")), "a")
-    both = both.join(rows.select(F.col("name").alias("b"), F.col("row").alias("rb"), size.alias("nb")), "b")
+    size, cells = F.octet_length("row"), small(cells.select("a", "b"))
+    left = rows.withColumnRenamed("name", "a").join(cells, "a").select("a", "b", F.col("row").alias("ra"), size.alias("na"))
+    both = left.join(rows.withColumnRenamed("name", "b").join(cells, "b").select("a", "b", F.col("row").alias("rb"), size.alias("nb")), ["a", "b"])
     both = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "ra", "rb")
 
     def multiply(batches):
@@ -406,10 +409,13 @@ def connected(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 def joined_by(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components (name, root) after further links: only edges between old components are contracted."""
     if roots is None:
-        return connected(table(links, "jaccard-links"))
+        found = table(links, "jaccard-links")
+        tidy(links.sparkSession)
+        return connected(found)
     at = lambda c, d: roots.select(F.col("name").alias(c), F.col("root").alias(d))
     edges = links.join(at("a", "x"), "a", "left").join(at("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     edges = table(edges.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jaccard-links")
+    tidy(links.sparkSession)
     if edges.isEmpty():
         return roots
     new = connected(edges)
