@@ -36,15 +36,20 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each component of n-gram Jaccard links."""
-    rows = table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    # rows are told apart by doc_id, or where that is missing or repeated by a hash of id and text; rows equal in both are one
+    repeated = small(table(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id", F.lit(True).alias("__several")), "repeated-ids"))
+    rows = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left").drop(repeated["doc_id"])
+    rows = rows.withColumn("__row", F.when(F.col("__several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))
     found = jaccard.components(rows, doc_id="__row", n=NEAR_SHINGLE, percent=NEAR_PERCENT)
-    later = table(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__row"), "component_id"), "copies")
+    later = table(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__row"), "component_id").distinct(), "copies")
     group = later.unionByName(later.select("component_id").distinct().withColumn("__row", F.col("component_id")))
-    ids = rows.select("__row", "doc_id").join(small(table(group, "groups")), "__row")
+    ids = rows.select("__row", "doc_id").distinct().join(small(table(group, "groups")), "__row")
     first = F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
     kept = ids.groupBy("component_id").agg(first.alias("__row"))
     gone = table(ids.select("__row").join(kept.select("__row"), "__row", "left_anti"), "gone")
-    return rows.join(small(gone), "__row", "left_anti").select(docs.columns)
+    rows = rows.join(small(gone), "__row", "left_anti")
+    once = rows.filter("__several IS NULL").unionByName(rows.filter("__several").dropDuplicates(["__row"]))
+    return once.select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
