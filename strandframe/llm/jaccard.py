@@ -386,6 +386,8 @@ def near_cells(members: DataFrame, percent: int) -> DataFrame:
 def connected(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(name, root) for the ends of the written table links: contraction towards the neighbour of most links (of equals by a hash redrawn every round)."""
     edges, roots = links, None
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("name"), F.col("b").alias("root"))
     for k in range(max_rounds):
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         degree = both.groupBy("a").agg(F.count("*").alias("d"))
@@ -449,10 +451,14 @@ def linked_sets(docs: DataFrame, n: int, percent: int, ranks: np.ndarray, bucket
     for k in range(STARS + 1):
         at = lambda c, d: roots.select(F.col("name").alias(c), F.col("root").alias(d))  # noqa: E731, B023
         members = apart(members, roots)
+        grouped = not members.isEmpty()
         if k == 0:  # the other pairs, where their ends are still apart
             rest = pairs.join(at("a", "x"), "a", "left").join(at("b", "y"), "b", "left")
             cells = rest.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
-        elif members.isEmpty():
+            if not grouped:
+                cells = table(cells, "jaccard-cells")
+                return roots if cells.isEmpty() else joined_by(roots, overlap_links(cells, rows, percent))
+        elif not grouped:
             break
         if k < STARS:  # a member of a group's largest component against all outside of it
             part = members.groupBy("g", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("r"), "name")).alias("hub"))
