@@ -15,7 +15,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["jn_segment_annotation", "jn_subtract", "iv_merge_bp0", "iv_flatten", "ag_weighted_median", "cl_threshold", "rp_breaks", "sm_session"])
+@pytest.mark.parametrize("name", ["jn_segment_annotation", "jn_subtract", "iv_merge_bp0", "iv_flatten", "ag_weighted_median", "cl_threshold", "rp_breaks", "sm_session", "sm_runs", "iv_merge_gaps", "rp_top_breaks", "wf_bedgraph", "pf_noncanonical", "pf_big_chroms", "jn_segment_vafs", "so_midsize_sample"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "orders", "nation", "events"):
