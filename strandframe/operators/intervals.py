@@ -1,7 +1,7 @@
 """Interval algebra on (chromosome, start, end), 0-based half-open.
 
-Joins are equi-joins on (chromosome, bucket); islands come from tiled running maxima. Nothing here
-gathers a chromosome in one task.
+Joins are equi-joins on (chromosome, bucket), but for rows of very many buckets, which are joined by chromosome. What
+depends on the order of rows (islands, runs, arms, places of genes) comes from tiled scans, so no chromosome is one task.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import running
+from .scan import previous, running
 
 #: Bases of a join bucket, and the buckets beyond which a row is joined by chromosome instead.
 BUCKET, WIDE = 50_000, 64
@@ -105,11 +105,13 @@ def total_range_size(df: DataFrame) -> DataFrame:
 
 def squash(df: DataFrame, by: str | None = None, combine: dict[str, Column] | None = None, order: list[str] | None = None) -> DataFrame:
     """Consecutive rows that touch (and agree on ``by``) become one."""
-    w = Window.partitionBy("chromosome").orderBy(*(order or ["start", "end"]))
-    new = F.lag("end").over(w).isNull() | (F.lag("end").over(w) != F.col("start"))
+    order = [*(order or ["start", "end"])]
+    order += [c for c in ("end", by) if c and c not in order]
+    rows = previous(df, ["chromosome"], order, {"__end": "end"} | ({"__by": by} if by else {}))
+    new = F.col("__end").isNull() | (F.col("__end") != F.col("start"))
     if by:
-        new = new | (F.lag(by).over(w) != F.col(by))
-    runs = df.withColumn("__run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        new = new | (F.col("__by") != F.col(by))
+    runs = running(rows, ["chromosome"], order, "__run", new.cast("long"), inclusive=True)
     keep = [F.first(by).alias(by)] if by else []
     return runs.groupBy("chromosome", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *keep, *[v.alias(k) for k, v in (combine or {}).items()]).drop("__run")
 
@@ -148,7 +150,8 @@ def subtract(df: DataFrame, other: DataFrame) -> DataFrame:
 def flatten(df: DataFrame, combine: dict[str, Column] | None = None, split_columns: tuple[str, ...] = ("weight", "probes")) -> DataFrame:
     """Disjoint pieces between all bounds of overlapping rows, with combined columns of the rows that cover each; split columns go by length."""
     points = df.select("chromosome", F.explode(F.array("start", "end")).alias("start")).distinct()
-    pieces = points.withColumn("end", F.lead("start").over(Window.partitionBy("chromosome").orderBy("start"))).filter("end IS NOT NULL")
+    pieces = previous(points, ["chromosome"], ["start"], {"__before": "start"}).filter("__before IS NOT NULL")
+    pieces = pieces.select("chromosome", F.col("__before").alias("start"), F.col("start").alias("end"))
     pairs = overlap_join(df, pieces)
     share = (F.col("r_end") - F.col("r_start")) / (F.col("end") - F.col("start"))
     parts = {c: F.sum(F.col(c) * share) for c in split_columns if c in df.columns}
@@ -185,18 +188,20 @@ def join_regions(df: DataFrame, min_gap: int) -> DataFrame:
 
 def by_arm(df: DataFrame, order: list[str], min_gap: int = 100_000, min_arm_bins: int = 50) -> DataFrame:
     """df with arm 0 or 1: chromosomes are split at their largest gap that is far enough from both ends."""
-    w = Window.partitionBy("chromosome").orderBy(*order)
-    rows = df.withColumns({"__i": F.row_number().over(w) - 1, "__gap": F.col("start") - F.lag("end").over(w), "__n": F.count("*").over(Window.partitionBy("chromosome"))})
+    of = df.groupBy("chromosome").agg(F.count("*").alias("__n"))
+    rows = running(previous(df, ["chromosome"], order, {"__end": "end"}), ["chromosome"], order, "__i", F.lit(1))
+    rows = rows.withColumn("__gap", F.col("start") - F.col("__end")).drop("__end")
     margin = F.greatest(F.lit(min_arm_bins), F.bround(F.col("__n") * 0.1).cast("int"))
     ok = (F.col("__n") > 2 * margin + 1) & F.col("__i").between(margin + 1, F.col("__n") - margin - 1) & (F.col("__gap") >= min_gap)
-    best = rows.filter(ok).groupBy("chromosome").agg(F.max(F.struct("__gap", (-F.col("__i")).alias("m"))).alias("b")).select("chromosome", (-F.col("b.m")).alias("__cut"))
-    return rows.join(best, "chromosome", "left").withColumn("arm", F.when(F.col("__i") >= F.col("__cut"), 1).otherwise(0)).drop("__i", "__gap", "__n", "__cut")
+    # of a chromosome's gaps only those that are wide enough meet its count of rows
+    best = rows.filter(F.col("__gap") >= min_gap).join(of, "chromosome").filter(ok)
+    best = best.groupBy("chromosome").agg(F.max(F.struct("__gap", (-F.col("__i")).alias("m"))).alias("b")).select("chromosome", (-F.col("b.m")).alias("__cut"))
+    return rows.join(best, "chromosome", "left").withColumn("arm", F.when(F.col("__i") >= F.col("__cut"), 1).otherwise(0)).drop("__i", "__gap", "__cut")
 
 
 def by_gene(df: DataFrame, order: list[str], ignore: tuple[str, ...] = ("-", ".", "CGH"), antitargets: tuple[str, ...] = ("Antitarget", "Background")) -> DataFrame:
     """(chromosome, gene, first, last): row spans of genes in the order of their first rows, and Antitarget for the rows between them."""
-    w = Window.partitionBy("chromosome").orderBy(*order)
-    rows = df.withColumn("i", F.row_number().over(w) - 1)
+    rows = running(df, ["chromosome"], order, "i", F.lit(1))
     size = rows.groupBy("chromosome").agg(F.max("i").alias("top"))
     names = rows.withColumn("gene", F.explode(F.split("gene", ","))).filter(~F.col("gene").isin(*ignore, *antitargets))
     spans = names.groupBy("chromosome", "gene").agg(F.min("i").alias("first"), F.max("i").alias("last"))

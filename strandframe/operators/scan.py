@@ -13,7 +13,8 @@ def running(df: DataFrame, keys: list[str], order: list, name: str, value: Colum
     """df with the running sum or max of value within keys, over the rows before (or up to) each.
 
     The order must begin with ``start``. Each tile is scanned on its own and gets what comes before it
-    from a table of one row a tile, so a chromosome is as many tasks as it has tiles.
+    from a table of one row a tile, so a chromosome is as many tasks as it has tiles. Rows with a null key
+    or start stay, and see only rows of their own tile.
     """
     f = {"sum": F.sum, "max": F.max}[kind]
     rows = df.withColumn("__tile", F.floor(F.col("start") / tile)).withColumn("__value", value)
@@ -22,6 +23,19 @@ def running(df: DataFrame, keys: list[str], order: list, name: str, value: Colum
     rows = rows.withColumn("__local", f("__value").over(local))
     before = Window.partitionBy(*keys).orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)
     carry = rows.groupBy(*keys, "__tile").agg(f("__value").alias("__of")).withColumn("__carry", f("__of").over(before)).drop("__of")
-    rows = rows.join(carry, [*keys, "__tile"])
+    rows = rows.join(carry, [*keys, "__tile"], "left")
     total = F.greatest("__local", "__carry") if kind == "max" else F.coalesce("__local", F.lit(0)) + F.coalesce("__carry", F.lit(0))
     return rows.withColumn(name, total).drop("__tile", "__value", "__local", "__carry")
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], tile: int = TILE) -> DataFrame:
+    """df with columns (new name: column) of the row before each within keys, null for the first; tiled as running() is."""
+    order = [*order, *[c for c in columns.values() if c not in order]]
+    taken = F.struct(*[F.col(c).alias(k) for k, c in columns.items()])
+    rows = df.withColumn("__tile", F.floor(F.col("start") / tile))
+    rows = rows.withColumn("__local", F.lag(taken).over(Window.partitionBy(*keys, "__tile").orderBy(*order)))
+    last = rows.groupBy(*keys, "__tile").agg(F.max_by(taken, F.struct(*order)).alias("__last"))
+    before = Window.partitionBy(*keys).orderBy("__tile")
+    last = last.withColumn("__last", F.lag("__last").over(before))
+    rows = rows.join(last, [*keys, "__tile"], "left").withColumn("__local", F.coalesce("__local", "__last"))
+    return rows.withColumns({k: F.col(f"__local.{k}") for k in columns}).drop("__tile", "__local", "__last")

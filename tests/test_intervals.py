@@ -96,3 +96,43 @@ def test_subdivide_keeps_length(spark):
 def test_masks_take_null_as_bad(spark):
     df = spark.createDataFrame([(1.0, 1.0, 0.5), (None, 1.0, 0.5), (1.0, None, 0.5), (1.0, 1.0, None), (float("nan"), 1.0, 0.5)], "log2 double, depth double, gc double")
     assert filters.nan_to_null(df).filter(~filters.bad_bin()).count() == 1
+
+
+def test_tiled_previous_is_the_plain_one(spark):
+    rows = random_rows(300, 5, 500)
+    got = {r.gene: (r.e, r.g) for r in scan.previous(table(spark, rows), ["chromosome"], ["start", "end", "gene"], {"e": "end", "g": "gene"}, tile=7_000).collect()}
+    assert len(got) == len(rows)
+    for c, s, e, g in rows:
+        before = [x for x in rows if x[0] == c and (x[1], x[2], x[3]) < (s, e, g)]
+        last = max(before, key=lambda x: x[1:]) if before else (None,) * 4
+        assert got[g] == (last[2], last[3])
+
+
+def test_order_dependent_operators_over_many_tiles(spark):
+    rnd, rows = random.Random(9), []
+    for c in ("c", "d"):
+        at = 0
+        for i in range(120):
+            at += rnd.choice([0, 0, 300_000, 2_500_000])
+            rows.append((c, at, at + 700_000, rnd.choice(["X", "Y"])))
+            at += 700_000
+    runs, arms = [], {}
+    for c in ("c", "d"):
+        mine = [r for r in rows if r[0] == c]
+        for r in mine:
+            if runs and runs[-1][0] == c and runs[-1][2] == r[1] and runs[-1][3] == r[3]:
+                runs[-1][2] = r[2]
+            else:
+                runs.append([*r])
+        margin = max(10, round(len(mine) * 0.1))
+        cut = max(((mine[i][1] - mine[i - 1][2], -i) for i in range(margin + 1, len(mine) - margin) if mine[i][1] - mine[i - 1][2] >= 100_000))
+        arms |= {(c, r[1]): int(i >= -cut[1]) for i, r in enumerate(mine)}
+    df = table(spark, rows)
+    assert sorted(map(list, ((r.chromosome, r.start, r.end, r.gene) for r in iv.squash(df, "gene").collect()))) == sorted(runs)
+    assert {(r.chromosome, r.start): r.arm for r in iv.by_arm(df, ["start", "end"], min_arm_bins=10).collect()} == arms
+    assert {(r.chromosome, r.gene, r.first) for r in iv.by_gene(df, ["start", "end"]).collect()} >= {(c, g, min(i for i, r in enumerate([x for x in rows if x[0] == c]) if r[3] == g)) for c in "cd" for g in "XY"}
+
+
+def test_rows_without_chromosome_stay(spark):
+    got = iv.by_arm(table(spark, [("c", 1, 2, "a"), (None, 5, 6, "b")]), ["start", "end"]).collect()
+    assert sorted((r.gene, r.arm) for r in got) == [("a", 0), ("b", 0)]
