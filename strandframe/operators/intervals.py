@@ -189,7 +189,7 @@ def join_regions(df: DataFrame, min_gap: int) -> DataFrame:
 def by_arm(df: DataFrame, order: list[str], min_gap: int = 100_000, min_arm_bins: int = 50) -> DataFrame:
     """df with arm 0 or 1: chromosomes are split at their largest gap that is far enough from both ends."""
     of = df.groupBy("chromosome").agg(F.count("*").alias("__n"))
-    rows = running(previous(df, ["chromosome"], order, {"__end": "end"}), ["chromosome"], order, "__i", F.lit(1))
+    rows = previous(df, ["chromosome"], order, {"__end": "end"}, number="__i")
     rows = rows.withColumn("__gap", F.col("start") - F.col("__end")).drop("__end")
     margin = F.greatest(F.lit(min_arm_bins), F.bround(F.col("__n") * 0.1).cast("int"))
     ok = (F.col("__n") > 2 * margin + 1) & F.col("__i").between(margin + 1, F.col("__n") - margin - 1) & (F.col("__gap") >= min_gap)

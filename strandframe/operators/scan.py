@@ -28,14 +28,20 @@ def running(df: DataFrame, keys: list[str], order: list, name: str, value: Colum
     return rows.withColumn(name, total).drop("__tile", "__value", "__local", "__carry")
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], tile: int = TILE) -> DataFrame:
-    """df with columns (new name: column) of the row before each within keys, null for the first; tiled as running() is."""
+def previous(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], number: str | None = None, tile: int = TILE) -> DataFrame:
+    """df with columns (new name: column) of the row before each within keys, null for the first, and the row's
+    number from 0 as ``number``; tiled as running() is."""
     order = [*order, *[c for c in columns.values() if c not in order]]
     taken = F.struct(*[F.col(c).alias(k) for k, c in columns.items()])
     rows = df.withColumn("__tile", F.floor(F.col("start") / tile))
-    rows = rows.withColumn("__local", F.lag(taken).over(Window.partitionBy(*keys, "__tile").orderBy(*order)))
-    last = rows.groupBy(*keys, "__tile").agg(F.max_by(taken, F.struct(*order)).alias("__last"))
+    every = Window.partitionBy(*keys, "__tile").orderBy(*order)
+    rows = rows.withColumn("__local", F.lag(taken).over(every))
+    if number:
+        rows = rows.withColumn(number, F.row_number().over(every) - 1)
     before = Window.partitionBy(*keys).orderBy("__tile")
-    last = last.withColumn("__last", F.lag("__last").over(before))
-    rows = rows.join(last, [*keys, "__tile"], "left").withColumn("__local", F.coalesce("__local", "__last"))
-    return rows.withColumns({k: F.col(f"__local.{k}") for k in columns}).drop("__tile", "__local", "__last")
+    ends = df.withColumn("__tile", F.floor(F.col("start") / tile)).groupBy(*keys, "__tile").agg(F.max_by(taken, F.struct(*order)).alias("__last"), F.count("*").alias("__of"))
+    ends = ends.withColumn("__last", F.lag("__last").over(before)).withColumn("__of", F.sum("__of").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(ends, [*keys, "__tile"], "left").withColumn("__local", F.coalesce("__local", "__last"))
+    if number:
+        rows = rows.withColumn(number, F.col(number) + F.coalesce("__of", F.lit(0).cast("long")))
+    return rows.withColumns({k: F.col(f"__local.{k}") for k in columns}).drop("__tile", "__local", "__last", "__of")

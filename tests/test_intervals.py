@@ -100,12 +100,12 @@ def test_masks_take_null_as_bad(spark):
 
 def test_tiled_previous_is_the_plain_one(spark):
     rows = random_rows(300, 5, 500)
-    got = {r.gene: (r.e, r.g) for r in scan.previous(table(spark, rows), ["chromosome"], ["start", "end", "gene"], {"e": "end", "g": "gene"}, tile=7_000).collect()}
+    got = {r.gene: (r.e, r.g, r.nth) for r in scan.previous(table(spark, rows), ["chromosome"], ["start", "end", "gene"], {"e": "end", "g": "gene"}, "nth", tile=7_000).collect()}
     assert len(got) == len(rows)
     for c, s, e, g in rows:
         before = [x for x in rows if x[0] == c and (x[1], x[2], x[3]) < (s, e, g)]
         last = max(before, key=lambda x: x[1:]) if before else (None,) * 4
-        assert got[g] == (last[2], last[3])
+        assert got[g] == (last[2], last[3], len(before))
 
 
 def test_order_dependent_operators_over_many_tiles(spark):
