@@ -48,10 +48,23 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As table(), dealt to buckets by key as a shuffle would: joins by key read it without shuffling it again."""
+    spark = df.sparkSession
+    held = f"strandframe_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(held)
+    out = spark.table(held)
+    out.written_to, out.held_as = path, held
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes what table() wrote, once nothing reads it any more."""
+    """Deletes what table() or dealt() wrote, once nothing reads it any more."""
     for t in tables:
         spark = t.sparkSession
+        if held := getattr(t, "held_as", None):
+            spark.sql(f"DROP TABLE IF EXISTS {held}")
         path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed, repeats
-from .common import discard, small, table, tidy
+from .common import dealt, discard, small, table, tidy
 from .ragged import ASCII_LOWER, IS_SPACE, Texts, grams, mix, pieces, span_hashes, split_words, WORD_BASE
 
 SHINGLE, PERCENT = 3, 90
@@ -38,6 +38,8 @@ _SALT = np.uint64(0x2545F4914F6CDD1D)
 COMMON, COMMON_PER, COOL, SLOTS = 3, 64, 32, 1 << 17
 #: Counters of a sketch; rounds of stars between components; rows of a block of compared sketches.
 SKETCH, STARS, BLOCK = 128, 1, 2048
+#: Cells from which on a row is a hub's.
+HUB = 64
 #: Entries of columns a worker gathers before it sends them on; entries of rows counted at once (one cell at least).
 FLUSH, CELL_ENTRIES = 500_000, 250_000
 
@@ -304,17 +306,40 @@ def rows_of(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
         packed.give_back()
 
     found = docs.mapInArrow(scan, "name binary, row binary").join(wanted, "name")
-    rows = table(found.groupBy("name").agg(F.first("row").alias("row")), "jaccard-rows")
+    rows = dealt(found.groupBy("name").agg(F.first("row").alias("row")), "jaccard-rows", "name")
+    discard(names)
     tidy(docs.sparkSession)
     return rows
 
 
+def _turned(cells: DataFrame) -> DataFrame:
+    """(a, b, links) of cells, each turned so that a is the end in more cells, which are its links. So no b is in many: at most about the root of all of them."""
+    degree = table(cells.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count("*").alias("d")), "jaccard-degree")
+    sent = small(degree)
+    at = lambda c, d: sent.select(F.col("name").alias(c), F.col("d").alias(d))
+    both, first = cells.join(at("a", "da"), "a").join(at("b", "db"), "b"), F.col("da") >= F.col("db")
+    out = table(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("da", "db").alias("links")), "jaccard-turned")
+    discard(degree)
+    return out
+
+
 def overlap_links(cells: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) of the written table cells whose sets are similar enough, by exact overlap counts."""
-    size, cells = F.octet_length("row"), small(cells.select("a", "b"))
-    left = rows.withColumnRenamed("name", "a").join(cells, "a").select("a", "b", F.col("row").alias("ra"), size.alias("na"))
-    both = left.join(rows.withColumnRenamed("name", "b").join(cells, "b").select("a", "b", F.col("row").alias("rb"), size.alias("nb")), ["a", "b"])
-    both = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "ra", "rb")
+    """Those (a, b) of the written table cells whose sets are similar enough, by exact overlap counts.
+
+    The row of a travels to where rows keeps that of b. Rows of hubs, in more than HUB cells, are broadcast if their bytes allow it: they don't travel once a cell.
+    """
+    cells = _turned(cells.select("a", "b"))
+    is_hub = F.col("links") > HUB
+    heads = table(rows.join(cells.filter(is_hub).select(F.col("a").alias("name")).distinct(), "name"), "jaccard-hubs")
+    sent = small(heads)
+    left = lambda df: df.select(F.col("name").alias("a"), F.col("row").alias("ra"))
+    right = rows.select(F.col("name").alias("b"), F.col("row").alias("rb"))
+    far = cells if sent is heads else cells.filter(~is_hub)
+    both = left(rows).join(small(far), "a").select("a", "b", "ra").join(right, "b").select("a", "b", "ra", "rb")
+    if sent is not heads:
+        both = both.unionByName(cells.filter(is_hub).join(right, "b").join(left(sent), "a").select("a", "b", "ra", "rb"))
+    na, nb = F.octet_length("ra"), F.octet_length("rb")
+    both = both.filter(F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
 
     def multiply(batches):
         for batch in batches:
@@ -441,6 +466,14 @@ def linked_sets(docs: DataFrame, n: int, percent: int, ranks: np.ndarray, bucket
     pairs, members = product(docs, n, percent, ranks, buckets)
     names = pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(members.select("name")).distinct()
     rows = rows_of(docs, names, n)
+    try:
+        return _joined(pairs, members, rows, percent)
+    finally:
+        discard(rows)
+
+
+def _joined(pairs: DataFrame, members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(name, root) of the sets that link with another, of the pairs and the members of groups."""
     # first each row with the one that it shares most columns with, and each group with the hub that is in most groups
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     best = both.groupBy("a").agg(F.max(F.struct("n", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
