@@ -37,7 +37,7 @@ _SALT = np.uint64(0x2545F4914F6CDD1D)
 #: Prefix columns that linked sets share, at least and one more for so many of their size; rows from which on a column is hot; slots of the table that orders columns.
 COMMON, COMMON_PER, COOL, SLOTS = 3, 64, 32, 1 << 17
 #: Counters of a sketch; rounds of stars between components; rows of a block of compared sketches.
-SKETCH, STARS, BLOCK = 128, 1, 2048
+SKETCH, STARS, BLOCK = 256, 4, 2048
 #: Cells from which on a row is a hub's.
 HUB = 64
 #: Entries of columns a worker gathers before it sends them on; entries of rows counted at once (one cell at least).
@@ -284,8 +284,20 @@ def product(docs: DataFrame, n: int, percent: int, ranks: np.ndarray, buckets: i
     return pairs, table(members.join(once, "g"), "jaccard-groups")
 
 
+def sketches(size: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """How many of each set's shingles fall to each of SKETCH counters, 255 at most: that takes nothing from the bound, for it only brings counters closer."""
+    slot = np.repeat(np.arange(len(size)), size) * SKETCH + (hashes >> np.uint64(40)).astype(np.int64) % SKETCH
+    return np.minimum(np.bincount(slot, minlength=len(size) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
+
+
+def may_link(size_a: np.ndarray, size_b: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and the L1 distance of sketches, at most the sets' difference, allow a link."""
+    sizes = np.minimum(size_a, size_b) * 100 >= np.maximum(size_a, size_b) * percent
+    return sizes & (apart * (100 + percent) <= (100 - percent) * (size_a + size_b))
+
+
 def rows_of(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
-    """(name, row) of the named sets: their hashes, sorted."""
+    """(name, row, size, sketch) of the named sets: their hashes, sorted, how many, and counts of them."""
     names = table(names, "jaccard-wanted")
     wanted, sent = small(names), None
     if wanted is not names:  # few enough to leave the others out before rows are made
@@ -302,11 +314,13 @@ def rows_of(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
                     which = which[np.isin(name[which, 0], sent.value)]
                     which = np.array([i for i, k in zip(which.tolist(), map(tuple, name[which].tolist()), strict=True) if k not in seen], np.int64)
                     seen.update(map(tuple, name[which].tolist()))
-                yield pa.RecordBatch.from_arrays([blobs(name[which]), pa.array(_cut_sets(which, size, hashes), pa.binary())], names=["name", "row"])
+                drawn = [s.tobytes() for s in sketches(size, hashes)[which]]
+                arrays = [blobs(name[which]), pa.array(_cut_sets(which, size, hashes), pa.binary()), pa.array(size[which], pa.int64()), pa.array(drawn, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["name", "row", "size", "sketch"])
         packed.give_back()
 
-    found = docs.mapInArrow(scan, "name binary, row binary").join(wanted, "name")
-    rows = dealt(found.groupBy("name").agg(F.first("row").alias("row")), "jaccard-rows", "name")
+    found = docs.mapInArrow(scan, "name binary, row binary, size long, sketch binary").join(wanted, "name")
+    rows = dealt(found.groupBy("name").agg(*[F.first(c).alias(c) for c in ("row", "size", "sketch")]), "jaccard-rows", "name")
     discard(names)
     tidy(docs.sparkSession)
     return rows
@@ -323,23 +337,40 @@ def _turned(cells: DataFrame) -> DataFrame:
     return out
 
 
-def overlap_links(cells: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) of the written table cells whose sets are similar enough, by exact overlap counts.
+def _met(cells: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b) of the written table cells with those columns of both rows, as a_column and b_column.
 
-    The row of a travels to where rows keeps that of b. Rows of hubs, in more than HUB cells, are broadcast if their bytes allow it: they don't travel once a cell.
+    What a has travels to where rows keeps that of b. Hubs, in more than HUB cells, are broadcast if their bytes allow it: they don't travel once a cell.
     """
     cells = _turned(cells.select("a", "b"))
     is_hub = F.col("links") > HUB
-    heads = table(rows.join(cells.filter(is_hub).select(F.col("a").alias("name")).distinct(), "name"), "jaccard-hubs")
+    heads = table(rows.select("name", *columns).join(cells.filter(is_hub).select(F.col("a").alias("name")).distinct(), "name"), "jaccard-hubs")
     sent = small(heads)
-    left = lambda df: df.select(F.col("name").alias("a"), F.col("row").alias("ra"))
-    right = rows.select(F.col("name").alias("b"), F.col("row").alias("rb"))
+    at = lambda df, end: df.select(F.col("name").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
+    wanted = ["a", "b", *[f"{end}_{c}" for c in columns for end in "ab"]]
     far = cells if sent is heads else cells.filter(~is_hub)
-    both = left(rows).join(small(far), "a").select("a", "b", "ra").join(right, "b").select("a", "b", "ra", "rb")
-    if sent is not heads:
-        both = both.unionByName(cells.filter(is_hub).join(right, "b").join(left(sent), "a").select("a", "b", "ra", "rb"))
-    na, nb = F.octet_length("ra"), F.octet_length("rb")
-    both = both.filter(F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+    both = at(rows, "a").join(small(far), "a").drop("links").join(at(rows, "b"), "b").select(*wanted)
+    if sent is heads:
+        return both
+    return both.unionByName(cells.filter(is_hub).join(at(rows, "b"), "b").join(at(sent, "a"), "a").select(*wanted))
+
+
+def likely_cells(cells: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) of the written table cells that sizes and sketches don't rule out: whole rows travel only for these."""
+
+    def check(batches):
+        for batch in batches:
+            size_a, size_b = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in (4, 5))
+            ok = pa.array(may_link(size_a, size_b, np.abs(left - right).sum(1, dtype=np.int64), percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    return _met(cells, rows, ["size", "sketch"]).mapInArrow(check, "a binary, b binary")
+
+
+def overlap_links(cells: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) of the written table cells whose sets are similar enough, by exact overlap counts."""
+    both = _met(table(likely_cells(cells, rows, percent), "jaccard-likely"), rows, ["row"])
 
     def multiply(batches):
         for batch in batches:
@@ -364,20 +395,6 @@ def overlap_links(cells: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(multiply, "a binary, b binary")
 
 
-def with_sketches(rows: DataFrame) -> DataFrame:
-    """(name, size, sketch) of rows: how many shingles fall to each of SKETCH counters."""
-
-    def scan(batches):
-        for batch in batches:
-            size = np.asarray(pc.binary_length(batch.column(1)), np.int64) // 8
-            hashes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
-            slot = np.repeat(np.arange(len(size)), size) * SKETCH + (hashes >> np.uint64(40)).astype(np.int64) % SKETCH
-            counts = np.bincount(slot, minlength=len(size) * SKETCH).astype(np.int32).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array([c.tobytes() for c in counts], pa.binary())], names=["name", "size", "sketch"])
-
-    return rows.select("name", "row").mapInArrow(scan, "name binary, size long, sketch binary")
-
-
 def near_cells(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): of members (g, name, root, size, sketch), pairs of a group and different roots whose sketches allow a link.
 
@@ -392,7 +409,7 @@ def near_cells(members: DataFrame, percent: int) -> DataFrame:
         name, (_, root) = table["name"].to_pylist(), np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)
         size, own = (np.asarray(table[c]) for c in ("size", "own"))
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.int32).reshape(-1, SKETCH)
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         right = right[np.argsort(size[right], kind="stable")]
         out = []
@@ -400,8 +417,7 @@ def near_cells(members: DataFrame, percent: int) -> DataFrame:
             lo, hi = np.searchsorted(size[right], (-(-size[k] * percent // 100), size[k] * 100 // percent + 1))
             near = right[lo:hi]
             near = near[(root[near] != root[k]) & ((near > k) if i == j else True)]
-            apart = np.abs(sketch[near] - sketch[k]).sum(1)
-            near = near[apart * (100 + percent) <= (100 - percent) * (size[near] + size[k])]
+            near = near[may_link(size[near], size[k], np.abs(sketch[near] - sketch[k]).sum(1, dtype=np.int64), percent)]
             out += [(name[k], name[x]) if name[k] < name[x] else (name[x], name[k]) for x in near.tolist()]
         return pa.table([pa.array([p[c] for p in out], pa.binary()) for c in (0, 1)], names=["a", "b"])
 
@@ -498,7 +514,7 @@ def _joined(pairs: DataFrame, members: DataFrame, rows: DataFrame, percent: int)
             part = part.groupBy("g").agg(F.max(F.struct("n", "root", F.col("hub")["name"].alias("hub"))).alias("top")).select("g", "top.hub", F.col("top.root").alias("top"))
             star = _cells(members.join(part, "g").filter("root <> top"), "hub", "name")
         else:
-            star = near_cells(members.join(with_sketches(rows), "name"), percent)
+            star = near_cells(members.join(rows.select("name", "size", "sketch"), "name"), percent)
         cells = table((cells.unionByName(star) if k == 0 else star).distinct(), "jaccard-cells")
         if not cells.isEmpty():
             roots = joined_by(roots, overlap_links(cells, rows, percent))
