@@ -37,7 +37,7 @@ _SALT = np.uint64(0x2545F4914F6CDD1D)
 #: Prefix columns that linked sets share, at least and one more for so many of their size; rows from which on a column is hot; slots of the table that orders columns.
 COMMON, COMMON_PER, COOL, SLOTS = 3, 64, 32, 1 << 17
 #: Counters of a sketch; rounds of stars between components; rows of a block of compared sketches.
-SKETCH, STARS, BLOCK = 256, 4, 2048
+SKETCH, STARS, BLOCK = 256, 2, 2048
 #: Cells from which on a row is a hub's.
 HUB = 64
 #: Entries of columns a worker gathers before it sends them on; entries of rows counted at once (one cell at least).
@@ -314,7 +314,10 @@ def rows_of(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
                     which = which[np.isin(name[which, 0], sent.value)]
                     which = np.array([i for i, k in zip(which.tolist(), map(tuple, name[which].tolist()), strict=True) if k not in seen], np.int64)
                     seen.update(map(tuple, name[which].tolist()))
-                drawn = [s.tobytes() for s in sketches(size, hashes)[which]]
+                wanted_rows = np.isin(np.arange(len(size)), which)
+                drawn = np.empty(len(size), object)
+                drawn[wanted_rows] = [s.tobytes() for s in sketches(size[wanted_rows], hashes[np.repeat(wanted_rows, size)])]
+                drawn = drawn[which].tolist()
                 arrays = [blobs(name[which]), pa.array(_cut_sets(which, size, hashes), pa.binary()), pa.array(size[which], pa.int64()), pa.array(drawn, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["name", "row", "size", "sketch"])
         packed.give_back()
@@ -328,13 +331,10 @@ def rows_of(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
 
 def _turned(cells: DataFrame) -> DataFrame:
     """(a, b, links) of cells, each turned so that a is the end in more cells, which are its links. So no b is in many: at most about the root of all of them."""
-    degree = table(cells.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count("*").alias("d")), "jaccard-degree")
-    sent = small(degree)
-    at = lambda c, d: sent.select(F.col("name").alias(c), F.col("d").alias(d))
+    degree = cells.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count("*").alias("d"))
+    at = lambda c, d: degree.select(F.col("name").alias(c), F.col("d").alias(d))
     both, first = cells.join(at("a", "da"), "a").join(at("b", "db"), "b"), F.col("da") >= F.col("db")
-    out = table(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("da", "db").alias("links")), "jaccard-turned")
-    discard(degree)
-    return out
+    return table(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("da", "db").alias("links")), "jaccard-turned")
 
 
 def _met(cells: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
