@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,12 +110,50 @@ def flag_outliers(df: DataFrame, keys: list[str], width: int = 50) -> DataFrame:
 
 
 def center_by_key(df: DataFrame, sample: str, key: str, fraction: float = 0.1) -> DataFrame:
-    """log2 corrected for a bias key within each sample."""
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["chromosome", "start", "end", "log2"], kind="stable")
-        return group.assign(log2=kn.center_by_window(group["log2"], group[key], fraction))
-
-    return grouped(df, [sample], one, ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
+    """log2 corrected for a bias key within each sample.
+
+    A sample is one task, for its windows run over all of it. The rows wait in a file of the worker's own; only log2 and the key
+    of the sample are held in memory.
+    """
+    order = [sample, "chromosome", "start", "end", "log2"]
+    order += [c for c in df.columns if c not in order]
+    rows = df.withColumn("log2", F.col("log2").cast("double")).select(df.columns)
+    rows = rows.repartition(sample).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order])
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+    def centred(path: str, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        log2 = kn.center_by_window(*[np.concatenate(x) for x in zip(*parts, strict=True)], fraction)
+        at = 0
+        with pa.OSFile(path) as file:
+            reader = pa.ipc.open_file(file)
+            for i in range(reader.num_record_batches):
+                batch = reader.get_batch(i)
+                new = pa.array(log2[at : at + len(batch)], from_pandas=True)
+                at += len(batch)
+                yield batch.set_column(batch.schema.get_field_index("log2"), "log2", new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[tuple[object, pa.RecordBatch]]:
+            for batch in batches:
+                names, lo = batch.column(sample).to_pylist(), 0
+                for name, same in groupby(names):
+                    size = sum(1 for _ in same)
+                    yield name, batch.slice(lo, size)
+                    lo += size
+
+        for _, own in groupby(pieces(), key=lambda p: p[0]):
+            with tempfile.TemporaryDirectory() as folder:
+                path, writer, parts = f"{folder}/rows", None, []
+                for _, batch in own:
+                    writer = writer or pa.ipc.new_file(path, batch.schema)
+                    writer.write_batch(batch)
+                    parts.append((numbers(batch.column("log2")), numbers(batch.column(key))))
+                writer.close()
+                yield from centred(path, parts)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def estimates(df: DataFrame, keys: list[str]) -> DataFrame:
