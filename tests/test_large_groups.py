@@ -37,3 +37,11 @@ def test_center_by_key_as_the_kernel(spark):
         a, b = part(got), part(own)
         assert list(a["gene"]) == list(b["gene"])
         assert np.array_equal(a["log2"], kn.center_by_window(b["log2"], b["weight"], 0.1), equal_nan=True)
+
+
+def test_fix_of_a_sample_too_large_for_a_table_of_windows(spark):
+    from strandframe.operators import workflow as wf
+
+    at = spark.range(400_000).selectExpr("'chr1' AS chromosome", "id * 400 AS start", "id * 400 + 60 + id % 300 AS end", "concat('g', id) AS gene", "CAST(id % 50 AS double) AS depth", "sin(id) AS log2", "'A' AS sample_id")
+    ref = at.selectExpr("chromosome", "start", "end", "gene", "0.0D AS log2", "0.1D AS spread")
+    assert wf.fix(at, ref).filter("log2 IS NOT NULL AND weight > 0").count() == 400_000  # 20,001 wide: 64 GB
