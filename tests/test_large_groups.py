@@ -45,3 +45,30 @@ def test_fix_of_a_sample_too_large_for_a_table_of_windows(spark):
     at = spark.range(400_000).selectExpr("'chr1' AS chromosome", "id * 400 AS start", "id * 400 + 60 + id % 300 AS end", "concat('g', id) AS gene", "CAST(id % 50 AS double) AS depth", "sin(id) AS log2", "'A' AS sample_id")
     ref = at.selectExpr("chromosome", "start", "end", "gene", "0.0D AS log2", "0.1D AS spread")
     assert wf.fix(at, ref).filter("log2 IS NOT NULL AND weight > 0").count() == 400_000  # 20,001 wide: 64 GB
+
+
+def _mode_of_all_pairs(x):
+    x = np.sort(x)
+    width = x.std(ddof=1) * len(x) ** -0.2
+    return x[np.array([np.exp(-0.5 * ((x - at) / width) ** 2).sum() for at in x]).argmax()]
+
+
+def test_mode_equals_that_of_all_pairs():
+    rng = np.random.default_rng(6)
+    for x in (rng.normal(0, 1, 4000), np.append(rng.normal(5000, 1, 3000), [1e7, -1e5]), np.round(rng.standard_cauchy(4000), 2)):
+        assert kn.modal_location(x) == _mode_of_all_pairs(x)
+
+
+def test_estimates_of_a_large_group():
+    x = np.random.default_rng(7).normal(0, 1, 400_000)  # 160 billion pairs; 640 MB of resamples at once
+    assert abs(kn.modal_location(x)) < 0.2
+    lo, hi = kn.bootstrap_ci(x, np.ones(len(x)))
+    assert lo < x.mean() < hi
+
+
+def test_bootstrap_in_parts_equals_that_in_one():
+    rng = np.random.default_rng(8)
+    x, w = rng.normal(0, 1, 30_001), rng.random(30_001)
+    pick = np.random.default_rng(kn.SEED).integers(0, len(x), (100, len(x)))
+    means = (x[pick] * w[pick]).sum(1) / w[pick].sum(1)
+    assert kn.bootstrap_ci(x, w) == tuple(np.quantile(means, [0.025, 0.975]))
