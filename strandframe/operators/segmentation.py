@@ -172,10 +172,11 @@ def bic(segments: DataFrame, noise: float) -> DataFrame:
     """Segments merged by BIC within each chromosome; the noise is of the whole sample."""
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("start", kind="stable").reset_index(drop=True)
-        out = []
-        for lo, hi in kn.bic_merge(group["log2"], group["weight"], group["probes"], noise):
-            p = group.iloc[lo:hi]
-            out.append((p["chromosome"].iloc[0], int(p["start"].min()), int(p["end"].max()), float(np.average(p["log2"], weights=p["weight"])), int(p["probes"].sum()), float(p["weight"].sum())))
+        start, end, log2, probes, weight = (group[c].to_numpy() for c in ("start", "end", "log2", "probes", "weight"))
+        name, out = group["chromosome"].iloc[0], []
+        for lo, hi in kn.bic_merge(log2, weight, probes, noise):
+            p = slice(lo, hi)  # of arrays: a frame for each of very many segments takes longer than merging them
+            out.append((name, int(start[p].min()), int(end[p].max()), float(np.average(log2[p], weights=weight[p])), int(np.nansum(probes[p])), float(np.nansum(weight[p]))))
         return pd.DataFrame(out, columns=["chromosome", "start", "end", "log2", "probes", "weight"])
 
     return grouped(segments.select("chromosome", "start", "end", "log2", "probes", "weight"), ["chromosome"], one, "chromosome string, start long, end long, log2 double, probes long, weight double")

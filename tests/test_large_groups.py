@@ -72,3 +72,17 @@ def test_bootstrap_in_parts_equals_that_in_one():
     pick = np.random.default_rng(kn.SEED).integers(0, len(x), (100, len(x)))
     means = (x[pick] * w[pick]).sum(1) / w[pick].sum(1)
     assert kn.bootstrap_ci(x, w) == tuple(np.quantile(means, [0.025, 0.975]))
+
+
+def test_bic_merge_of_many_segments():
+    rng = np.random.default_rng(9)
+    n = 50_000  # a pass over all pairs for each merge would take hours
+    for at, x in ((1, np.zeros(n)), (None, rng.normal(0, 0.5, n))):
+        found = kn.bic_merge(x, 1.0 + np.arange(n) % 7, 1 + np.arange(n) % 5, 0.3)
+        assert [a for a, _ in found] == [0, *[b for _, b in found[:-1]]] and found[-1][1] == n
+        assert at is None or len(found) == at
+
+
+def test_bic_merge_takes_the_first_of_equal_gains():
+    assert kn.bic_merge([0.0, 0.0, 9.0, 0.0, 0.0], [1.0] * 5, [9] * 5, 0.3) == [(0, 2), (2, 3), (3, 5)]
+    assert kn.bic_merge([], [], [], 0.3) == [] and kn.bic_merge([1.0], [1.0], [1], 0.3) == [(0, 1)]
