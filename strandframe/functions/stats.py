@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as kn
+
 #: Scale of a median absolute deviation to a standard deviation (fixed value).
 MAD_SCALE = 1.4826
 
@@ -57,14 +60,15 @@ def gapper(df: DataFrame, keys: list[str], c: str, name: str = "gapper") -> Data
 
 
 def q_n(df: DataFrame, keys: list[str], c: str, name: str = "q_n") -> DataFrame:
-    """First quartile of pairwise distances, scaled by group size; meant for small groups."""
-    rows = df.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(c)))
-    a, b = rows.select(*keys, "__i", F.col(c).alias("__a")), rows.select(*keys, F.col("__i").alias("__j"), F.col(c).alias("__b"))
-    size = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    pairs = a.join(b, keys).filter("__i < __j").groupBy(*keys).agg(F.percentile(F.abs(F.col("__a") - F.col("__b")), 0.25).alias("__q"))
+    """First quartile of pairwise distances, scaled by group size; the values of a group are one array, its pairs are not made."""
+    @F.pandas_udf("double")
+    def quartile(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: kn.pair_distance_quantile(x, 0.25)).astype(float)
+
+    groups = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("__n"), F.collect_list(F.col(c).cast("double")).alias("__x")).filter("__n > 1")
     n = F.col("__n")
     scale = F.when(n <= 10, 1.392).when(n < 400, 1 + 4 / n).otherwise(1.0)
-    return pairs.join(size, keys).select(*keys, (F.col("__q") / scale).alias(name))
+    return groups.withColumn("__q", F.when(F.size("__x") > 1, quartile("__x"))).select(*keys, (F.col("__q") / scale).alias(name))
 
 
 def mse(df: DataFrame, keys: list[str], c: str, name: str = "mse") -> DataFrame:

@@ -86,3 +86,23 @@ def test_bic_merge_of_many_segments():
 def test_bic_merge_takes_the_first_of_equal_gains():
     assert kn.bic_merge([0.0, 0.0, 9.0, 0.0, 0.0], [1.0] * 5, [9] * 5, 0.3) == [(0, 2), (2, 3), (3, 5)]
     assert kn.bic_merge([], [], [], 0.3) == [] and kn.bic_merge([1.0], [1.0], [1], 0.3) == [(0, 1)]
+
+
+def test_pair_distance_quantile_equals_that_of_all_pairs():
+    rng = np.random.default_rng(10)
+    for n in (2, 3, 7, 60, 301):
+        for x in (rng.normal(0, 1, n), np.round(rng.normal(0, 1, n), 1), np.zeros(n)):
+            i, j = np.triu_indices(n, 1)
+            assert kn.pair_distance_quantile(x, 0.25) == pytest.approx(np.quantile(np.abs(x[i] - x[j]), 0.25), rel=1e-14, abs=0)
+
+
+def test_q_n_of_a_large_group(spark):
+    from strandframe.functions import stats
+
+    df = spark.range(200_000).selectExpr("'a' AS k", "CASE WHEN id > 1 THEN CAST(id AS double) END AS x")  # 20 billion pairs
+    df = df.unionByName(spark.createDataFrame([("one", 1.0), ("none", None), ("none", None), (None, 1.0), (None, 2.0)], "k string, x double"))
+    got = {r.k: r.q_n for r in stats.q_n(df, ["k"], "x").collect()}
+    m = 199_998
+    within = lambda d: d * m - d * (d + 1) // 2
+    assert set(got) == {"a", "none"} and got["none"] is None
+    assert within(got["a"] - 1) <= (m * (m - 1) // 2 - 1) // 4 < within(got["a"])
