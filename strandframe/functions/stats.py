@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,23 @@ from . import kernels as kn
 MAD_SCALE = 1.4826
 
 
+def _by_the_c_library(f: Callable[[float], float]) -> Callable[..., Column]:
+    """A column function of f, one of ``math``: Spark's own log2 and pow differ from the C library's in the last bits."""
+    @F.pandas_udf("double")
+    def each(x: pd.Series) -> pd.Series:
+        return pd.Series([math.nan if v != v else f(v) for v in x.tolist()], dtype=float)
+
+    return lambda c: F.when(c.isNotNull(), F.when(F.isnan(c), c).otherwise(each(c)))
+
+
+def log2() -> Callable[..., Column]:
+    return _by_the_c_library(lambda v: math.log2(v) if 0 < v else -math.inf if v == 0 else math.nan)
+
+
+def power_of_2() -> Callable[..., Column]:
+    return _by_the_c_library(lambda v: math.pow(2.0, v) if v < 1024 else math.inf)
+
+
 def iqr(c: str) -> Column:
     return F.percentile(c, 0.75) - F.percentile(c, 0.25)
 

@@ -113,9 +113,10 @@ def merge_samples(df: DataFrame, samples: list[str]) -> DataFrame:
 
 def export_theta(segments: DataFrame, depth: int = 500, width: int = 200, read: int = 100) -> DataFrame:
     """Read counts of autosomal segments in the tumor and a normal."""
-    normal = F.col("probes") * width * depth / read
+    bases = F.col("probes") * width * depth
     rows = segments.filter(chrom.is_autosome(F.col("chromosome")))
-    return rows.select("seg_id", chrom.bare(F.col("chromosome")).cast("int").alias("chrm"), "start", "end", F.floor(normal * F.pow(F.lit(2.0), "log2")).cast("long").alias("tumor"), F.floor(normal).cast("long").alias("normal"))
+    tumor = F.floor(bases * stats.power_of_2()(F.col("log2").cast("double")) / read)  # the last bit decides where the count is whole
+    return rows.select("seg_id", chrom.bare(F.col("chromosome")).cast("int").alias("chrm"), "start", "end", tumor.cast("long").alias("tumor"), F.floor(bases / read).cast("long").alias("normal"))
 
 
 def het_density_rejects_haploid(hets: int, total: int, rate: float = 0.05, alpha: float = 0.001, least: int = 10) -> bool:

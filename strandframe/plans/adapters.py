@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import stats
+
 _NAME = "CASE WHEN {k} < 22 THEN concat('chr', CAST({k} + 1 AS {text})) WHEN {k} = 22 THEN 'chrX' ELSE 'chrY' END"
 _BINS = """SELECT {chrom} AS chromosome, l_orderkey * 400 + l_linenumber * 37 AS {start}, l_orderkey * 400 + l_linenumber * 37 + 40 + CAST(l_quantity AS BIGINT) * 8 AS {end},
   CASE WHEN l_partkey % 10 = 0 THEN 'Antitarget' ELSE concat('G', CAST(l_partkey % 200 AS {text})) END AS gene, l_quantity AS depth,
@@ -16,19 +18,32 @@ _SNPS = """SELECT {chrom} AS chromosome, (event_id * 7919) % 6000000 AS {start},
 TABLES = {"bins": (_BINS, "l_suppkey % 24"), "segs": (_SEGS, "n_nationkey"), "snps": (_SNPS, "user_id % 24")}
 
 
-def _sql(name: str, text: str, quote: str, tables: dict[str, str]) -> str:
-    body, k = TABLES[name]
+def _sql(table: tuple[str, str], text: str, quote: str, tables: dict[str, str]) -> str:
+    body, k = table
     return body.format(chrom=_NAME.format(k=k, text=text), text=text, start=f"{quote}start{quote}", end=f"{quote}end{quote}", **tables)
 
 
 def duck(name: str) -> str:
     """A CTE of the adapter for DuckDB."""
-    return f"{name} AS ({_sql(name, 'VARCHAR', chr(34), {t: t for t in ('lineitem', 'orders', 'nation', 'events')})})"
+    return f"{name} AS ({_sql(TABLES[name], 'VARCHAR', chr(34), {t: t for t in ('lineitem', 'orders', 'nation', 'events')})})"
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _load(spark: SparkSession, sf_dir: str, table: tuple[str, str]) -> DataFrame:
     files = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in ("lineitem", "orders", "nation", "events")}
-    return spark.sql(_sql(name, "STRING", "`", files))
+    return spark.sql(_sql(table, "STRING", "`", files))
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _load(spark, sf_dir, TABLES[name])
+
+
+def segs_to_the_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """segs with the log2 that DuckDB has, to the last bit; for what rounds it down."""
+    body, k = TABLES["segs"]
+    ratio = "o_totalprice / 250000"
+    plain = (body.replace(f"log2({ratio})", ratio), k)
+    rows = _load(spark, sf_dir, plain)
+    return rows.withColumn("log2", stats.log2()(rows["log2"].cast("double")))
 
 
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chrom, stats
 from ..operators import calling, reports, signal, variants
 from ..operators import intervals as iv
-from .adapters import bins, duck, segs, snps
+from .adapters import bins, duck, segs, segs_to_the_bit, snps
 
 QUERIES, ORACLES = {}, {}
 B, S, V = duck("bins"), duck("segs"), duck("snps")
@@ -137,8 +137,8 @@ RUNS = """SELECT chromosome, min("start") AS "start", max("end") AS "end", round
 OWN = 'CASE WHEN {} THEN 0 ELSE row_number() OVER (PARTITION BY chromosome ORDER BY "start") END'
 
 
-def called(s, d):
-    return segs(s, d).withColumns({"cn": F.bround(calling.pure(F.col("log2"), ref())).cast("long"), "weight": 1.0 + F.col("seg_id") % 7, "probes": 1 + F.col("seg_id") % 5})
+def called(s, d, rows=segs):
+    return rows(s, d).withColumns({"cn": F.bround(calling.pure(F.col("log2"), ref())).cast("long"), "weight": 1.0 + F.col("seg_id") % 7, "probes": 1 + F.col("seg_id") % 5})
 
 
 def _runs(name, level_sql, level):
@@ -175,4 +175,4 @@ query("ex_vcf_core", """SELECT chromosome AS chrom, greatest("start", 1) AS pos,
 query("ex_nexus", """SELECT chromosome, "start", "end", gene, round(log2, 6) AS log2, chromosome || ':' || ("start" + 1) || '-' || "end" AS probe FROM bins""", B)(lambda s, d: rounded(reports.export_nexus(bins(s, d)), "log2"))
 query("ex_pivot_jtv", """SELECT chromosome || ':' || "start" || '-' || "end" || ':' || gene AS clid, round(avg(log2) FILTER (sample_id = 'A'), 6) AS A, round(avg(log2) FILTER (sample_id = 'N'), 6) AS N, round(avg(log2) FILTER (sample_id = 'R'), 6) AS R FROM bins GROUP BY 1""", B)(
     lambda s, d: rounded(reports.merge_samples(bins(s, d), ["A", "N", "R"]), "A", "N", "R"))
-query("ex_theta", """SELECT seg_id, chrm, "start", "end", floor(probes * 200 * 500 * 2 ** log2 / 100)::BIGINT AS tumor, floor(probes * 200 * 500 / 100)::BIGINT AS normal FROM (SELECT *, substr(chromosome, 4)::INT AS chrm FROM called WHERE chromosome NOT IN ('chrX', 'chrY'))""", S, CALLED)(lambda s, d: reports.export_theta(called(s, d)))
+query("ex_theta", """SELECT seg_id, chrm, "start", "end", floor(probes * 200 * 500 * 2 ** log2 / 100)::BIGINT AS tumor, floor(probes * 200 * 500 / 100)::BIGINT AS normal FROM (SELECT *, substr(chromosome, 4)::INT AS chrm FROM called WHERE chromosome NOT IN ('chrX', 'chrY'))""", S, CALLED)(lambda s, d: reports.export_theta(called(s, d, segs_to_the_bit)))
