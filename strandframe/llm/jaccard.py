@@ -34,8 +34,9 @@ from .ragged import ASCII_LOWER, IS_SPACE, Texts, grams, mix, pieces, span_hashe
 
 SHINGLE, PERCENT = 3, 90
 _SALT = np.uint64(0x2545F4914F6CDD1D)
-#: Prefix columns that linked sets share, at least and one more for so many of their size; rows from which on a column is hot; slots of the table that orders columns.
-COMMON, COMMON_PER, COOL, SLOTS = 3, 64, 32, 1 << 17
+#: Prefix columns that linked sets share, at least and one more for so many of their size; rows from which on a column is hot; slots of the table that orders columns
+#: (the more shingles fall to a slot, the less its count tells of each, and the more columns of a prefix are hot).
+COMMON, COMMON_PER, COOL, SLOTS = 3, 64, 32, 1 << 20
 #: Counters of a sketch; rounds of stars between components; rows of a block of compared sketches.
 SKETCH, STARS, BLOCK = 256, 2, 2048
 #: Cells from which on a row is a hub's.
@@ -95,21 +96,38 @@ def _numbered(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return some[new], number
 
 
+def _planes(counts: np.ndarray) -> bytes:
+    """Counts of slots by the place of their bytes: the high ones, mostly 0, take next to nothing once compressed."""
+    return counts.view(np.uint8).reshape(len(counts), -1).T.tobytes()
+
+
+def _counted(blob: bytes) -> np.ndarray:
+    """The counts of slots in _planes() of 4 or 8 bytes."""
+    planes = np.frombuffer(blob, np.uint8).reshape(-1, SLOTS)
+    return np.ascontiguousarray(planes.T).view(np.int32 if len(planes) == 4 else np.int64)[:, 0]
+
+
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, name, counts) of every document, name null where the set is empty; and one row a task with only counts: shingles by slot."""
 
     def scan(batches):
-        counts = np.zeros(SLOTS, np.int64)
+        counts, slots, held = np.zeros(SLOTS, np.int64), [], 0
         for batch in batches:
             sizes, names = np.zeros(len(batch), np.int64), np.zeros((len(batch), 2), np.uint64)
             for t in pieces(batch.column(1)):
                 row, size, name, hashes = named_sets(t, n)
                 sizes[t.first + row], names[t.first + row] = size, name
-                counts += np.bincount((hashes >> np.uint64(40)).astype(np.int64) % SLOTS, minlength=SLOTS)
+                slots.append((hashes >> np.uint64(40)).astype(np.int32) % SLOTS)
+                held += len(hashes)
+                if held >= SLOTS:
+                    counts += np.bincount(np.concatenate(slots), minlength=SLOTS)
+                    slots, held = [], 0
             name = pc.if_else(pa.array(sizes > 0), blobs(names), pa.scalar(None, pa.binary()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), name, pa.nulls(len(batch), pa.binary())], names=["doc_id", "n_shingles", "name", "counts"])
+        if held:
+            counts += np.bincount(np.concatenate(slots), minlength=SLOTS)
         if counts.any():
-            blob = np.minimum(counts, 2**31 - 1).astype(np.int32).tobytes()
+            blob = _planes(np.minimum(counts, 2**31 - 1).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names=["doc_id", "n_shingles", "name", "counts"])
 
     return docs.mapInArrow(scan, "doc_id long, n_shingles long, name binary, counts binary")
@@ -122,11 +140,11 @@ def column_ranks(sets: DataFrame) -> np.ndarray:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for blob in batch.column(0):
-                total += np.frombuffer(blob.as_py(), np.int32 if len(blob.as_py()) == SLOTS * 4 else np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+                total += _counted(blob.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([_planes(total)], pa.binary())], names=["counts"])
 
     partial = sets.filter("counts IS NOT NULL").select("counts").mapInArrow(add, "counts binary")
-    total = np.frombuffer(partial.repartition(1).mapInArrow(add, "counts binary").collect()[0][0], np.int64)
+    total = _counted(partial.repartition(1).mapInArrow(add, "counts binary").collect()[0][0])
     return np.minimum(4 * np.log2(1 + total), 255).astype(np.uint8)
 
 
