@@ -10,6 +10,8 @@ PAR = {
     "grch37": {"PAR1X": (60000, 2699520), "PAR2X": (154931043, 155260560), "PAR1Y": (10000, 2649520), "PAR2Y": (59034049, 59363566)},
     "grch38": {"PAR1X": (10000, 2781479), "PAR2X": (155701382, 156030895), "PAR1Y": (10000, 2781479), "PAR2Y": (56887902, 57217415)},
 }
+#: The whole name of an autosome, for Python.
+AUTOSOME = r"(?i:chr)?[0-9]+"
 
 
 def bare(name: Column) -> Column:

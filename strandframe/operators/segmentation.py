@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -109,30 +109,27 @@ def flag_outliers(df: DataFrame, keys: list[str], width: int = 50) -> DataFrame:
     return grouped(df.select(cols), keys, one, ", ".join(f"`{c}` {types[c]}" for c in cols) + ", outlier boolean")
 
 
-def center_by_key(df: DataFrame, sample: str, key: str, fraction: float = 0.1) -> DataFrame:
-    """log2 corrected for a bias key within each sample.
+def by_sample(df: DataFrame, sample: str, new: list[str], f: Callable[[Callable[[str], pa.ChunkedArray]], dict[str, np.ndarray]]) -> DataFrame:
+    """df with the numbers in its columns ``new`` as f makes them of all rows of a sample; f is given what reads a column of them.
 
-    A sample is one task, for its windows run over all of it. The rows wait in a file of the worker's own; only log2 and the key
-    of the sample are held in memory.
+    A sample is one task and its rows come in order. They wait in a file of the worker's own; only the columns that f reads are held in memory.
     """
     order = [sample, "chromosome", "start", "end", "log2"]
     order += [c for c in df.columns if c not in order]
-    rows = df.withColumn("log2", F.col("log2").cast("double")).select(df.columns)
+    rows = df.withColumns({c: F.col(c).cast("double") for c in new}).select(df.columns)
     rows = rows.repartition(sample).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order])
 
-    def numbers(column: pa.Array) -> np.ndarray:
-        return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
-
-    def centred(path: str, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        log2 = kn.center_by_window(*[np.concatenate(x) for x in zip(*parts, strict=True)], fraction)
-        at = 0
-        with pa.OSFile(path) as file:
+    def made(path: str) -> Iterator[pa.RecordBatch]:
+        with pa.memory_map(path) as file:
             reader = pa.ipc.open_file(file)
-            for i in range(reader.num_record_batches):
+            batches = range(reader.num_record_batches)
+            columns, at = f(lambda c: pa.chunked_array([reader.get_batch(i).column(c) for i in batches])), 0
+            for i in batches:
                 batch = reader.get_batch(i)
-                new = pa.array(log2[at : at + len(batch)], from_pandas=True)
+                for c, x in columns.items():
+                    batch = batch.set_column(batch.schema.get_field_index(c), c, pa.array(x[at : at + len(batch)], from_pandas=True))
                 at += len(batch)
-                yield batch.set_column(batch.schema.get_field_index("log2"), "log2", new)
+                yield batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[tuple[object, pa.RecordBatch]]:
@@ -145,17 +142,26 @@ def center_by_key(df: DataFrame, sample: str, key: str, fraction: float = 0.1) -
 
         for _, own in groupby(pieces(), key=lambda p: p[0]):
             with tempfile.TemporaryDirectory() as folder:
-                path, writer, parts = f"{folder}/rows", None, []
+                path, writer = f"{folder}/rows", None
                 for _, batch in own:
                     writer = writer or pa.ipc.new_file(path, batch.schema)
                     writer.write_batch(batch)
-                    parts.append((numbers(batch.column("log2")), numbers(batch.column(key))))
                 writer.close()
-                yield from centred(path, parts)
+                yield from made(path)
 
     return rows.mapInArrow(run, rows.schema)
 
 
+def numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """A column as doubles, NaN where it is null."""
+    return column.cast(pa.float64()).to_numpy()
+
+
+def center_by_key(df: DataFrame, sample: str, key: str, fraction: float = 0.1) -> DataFrame:
+    """log2 corrected for a bias key within each sample, whose windows run over all of it."""
+    return by_sample(df, sample, ["log2"], lambda column: {"log2": kn.center_by_window(numbers(column("log2")), numbers(column(key)), fraction)})
+
+
 def estimates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Biweight location and midvariance, mode and a bootstrap interval per group."""
     def one(group: pd.DataFrame) -> pd.DataFrame:

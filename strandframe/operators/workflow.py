@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chrom
 from ..functions import kernels as kn
 from . import intervals as iv
 from .filters import NULL_LOG2
-from .segmentation import center_by_key
+from .segmentation import by_sample, numbers
 from .signal import center_all, edge_bias
 
 #: SAM flags of reads that don't count: unmapped, secondary, failed, duplicate (fixed value).
@@ -104,18 +107,38 @@ def flat_reference(bins: DataFrame, haploid_x: bool = False) -> DataFrame:
 
 
 def fix(sample: DataFrame, ref: DataFrame, fraction: float = 0.1) -> DataFrame:
-    """A sample's log2 ratios: centred, corrected for GC (if the reference has it) and edges, less the reference, weighted by size and spread."""
+    """A sample's log2 ratios: centred, corrected for GC (if the reference has it) and edges, less the reference, weighted by size and spread.
+
+    All that takes the whole sample, centres too, is done in one pass over its rows: Spark would make them again for each.
+    """
     keys = ["chromosome", "start", "end", "gene"]
     rows = sample.join(ref.select(*keys, F.col("log2").alias("ref_log2"), "spread", *(["gc"] if "gc" in ref.columns else [])), keys)
-    rows = edge_bias(center_all(rows, ["sample_id"]), ["start", "end", "gene", "log2"], keys=["sample_id"])
-    for key in ("gc", "edge"):
-        if key in rows.columns:
-            rows = center_by_key(rows, "sample_id", key, fraction)
-    size = F.sqrt((F.col("end") - F.col("start")).cast("double"))
-    by_size = F.least(F.greatest(1 - F.pow("spread", 2) / (size / F.avg(size).over(Window.partitionBy("sample_id"))), F.lit(1e-4)), F.lit(1.0))
-    weight = F.least(F.greatest(0.9 * (1 - F.pow("spread", 2)) + 0.1 * by_size, F.lit(1e-4)), F.lit(1.0))
-    rows = rows.withColumn("weight", weight).withColumn("log2", F.col("log2") - F.col("ref_log2"))
-    return center_all(rows, ["sample_id"]).drop("ref_log2", "edge")
+    rows = edge_bias(rows, ["start", "end", "gene", "log2"], keys=["sample_id"])
+    if "weight" not in rows.columns:
+        rows = rows.withColumn("weight", F.lit(None).cast("double"))
+    biases = [c for c in ("gc", "edge") if c in rows.columns]
+
+    def corrected(column) -> dict[str, np.ndarray]:
+        of, log2 = autosomes(column("chromosome")), numbers(column("log2"))
+        log2 = log2 - kn.centre(log2, of)
+        for key in biases:
+            log2 = kn.center_by_window(log2, numbers(column(key)), fraction)
+        log2 = log2 - numbers(column("ref_log2"))
+        log2 = log2 - kn.centre(log2, of)
+        spread, size = numbers(column("spread")) ** 2, np.sqrt(numbers(column("end")) - numbers(column("start")))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            by_size = np.fmin(np.fmax(1 - spread / (size / np.mean(size)), 1e-4), 1.0)
+        return {"log2": log2, "weight": np.fmin(np.fmax(0.9 * (1 - spread) + 0.1 * by_size, 1e-4), 1.0)}
+
+    rows = by_sample(rows, "sample_id", ["log2", "weight"], corrected)
+    return rows.select("sample_id", *[c for c in rows.columns if c not in ("sample_id", "ref_log2", "edge")])
+
+
+def autosomes(chromosome: pa.ChunkedArray) -> np.ndarray:
+    """The number of each row's chromosome among the autosomes, -1 for others."""
+    coded = chromosome.dictionary_encode().combine_chunks()
+    at = [i if re.fullmatch(chrom.AUTOSOME, name) else -1 for i, name in enumerate(coded.dictionary.to_pylist())]
+    return np.array([*at, -1], np.int32)[coded.indices.fill_null(len(at)).to_numpy(zero_copy_only=False)]
 
 
 def gc_content(bins: DataFrame, sequence: DataFrame) -> DataFrame:

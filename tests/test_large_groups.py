@@ -106,3 +106,28 @@ def test_q_n_of_a_large_group(spark):
     within = lambda d: d * m - d * (d + 1) // 2
     assert set(got) == {"a", "none"} and got["none"] is None
     assert within(got["a"] - 1) <= (m * (m - 1) // 2 - 1) // 4 < within(got["a"])
+
+
+def test_fix_makes_the_rows_of_a_sample_once(spark):
+    from pyspark.sql import functions as F
+
+    from strandframe.operators import workflow as wf
+    from strandframe.operators.signal import center_all, edge_bias
+
+    keys = ["chromosome", "start", "end", "gene"]
+    at = spark.range(3000).selectExpr("if(id % 5 < 4, concat('chr', id % 5), 'chrX') AS chromosome", "id * 100 AS start", "id * 100 + 60 + id % 300 AS end", "concat('g', id) AS gene", "if(id % 50 = 7, NULL, sin(id)) AS log2", "if(id % 3 = 0, 'A', 'B') AS sample_id")
+    one = at.unionByName(at.filter("chromosome = 'chrX'").withColumn("sample_id", F.lit("without autosomes")))
+    ref = at.selectExpr(*keys, "cos(start) AS log2", "(start % 700) / 500D AS spread", "(start % 900) / 900D AS gc")
+    got = wf.fix(one, ref)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # it was twice for each bias
+    rows = center_all(one.filter("sample_id <> 'without autosomes'"), ["sample_id"]).join(ref.withColumnRenamed("log2", "ref_log2"), keys)
+    for key in ("gc", "edge"):
+        rows = sg.center_by_key(edge_bias(rows, ["start", "end", "gene", "log2"], keys=["sample_id"]), "sample_id", key)
+    want = center_all(rows.withColumn("log2", F.col("log2") - F.col("ref_log2")), ["sample_id"]).toPandas().sort_values(["sample_id", "start"])
+    got = got.toPandas().sort_values(["sample_id", "start"])
+    assert (got["sample_id"] == "without autosomes").sum() == 600  # they were dropped
+    got = got[got["sample_id"] != "without autosomes"]
+    assert len(got) == 3000 and np.allclose(got["log2"], want["log2"], rtol=0, atol=1e-12, equal_nan=True)
+    size = np.sqrt(got["end"] - got["start"])
+    by_size = (1 - got["spread"] ** 2 / (size / size.groupby(got["sample_id"]).transform("mean"))).clip(1e-4, 1)
+    assert np.allclose(got["weight"], (0.9 * (1 - got["spread"] ** 2) + 0.1 * by_size).clip(1e-4, 1), rtol=1e-12)
