@@ -16,6 +16,8 @@ SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes that may be broadcast; a table with more is joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
+#: Bytes of a written table for each partition of what is made from it, see few().
+PARTITION_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -60,6 +62,15 @@ def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df, a shuffle's outcome no larger than the written table ``source``, in as many partitions as the bytes of source ask for: a small
+    outcome is else written as one file for each shuffle partition, and on local paths each file starts three processes (chmod)."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(source.written_to)
+    written = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return df.coalesce(max(1, -(-written // PARTITION_BYTES)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what table() or dealt() wrote, once nothing reads it any more."""
     for t in tables:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, small, table, with_columns
+from .common import SPACES, ascii_lower, few, small, table, with_columns
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _NO_ID = -(2**63)
@@ -56,9 +56,9 @@ def frequent_lines(at: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with n_lines, n_dropped and keep_runs: array of (start, n), the kept lines; null where all are kept."""
     at = table(_positions(docs, doc_id, text, min_chars), "line-positions")
-    frequent = small(table(frequent_lines(at, min_docs), "lines-frequent"))
+    frequent = small(table(few(frequent_lines(at, min_docs), at), "lines-frequent"))
     hit = at.join(frequent, ["h", "h2"]).filter(F.col("id") != F.col("keeper"))
-    gone = table(hit.groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "lines-gone")
+    gone = table(few(hit.groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone")), at), "lines-gone")
     gone = small(gone).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("gone").alias("__gone"))
     mine = [F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_NO_ID)) == F.col("__id"), F.xxhash64(F.col(f"`{text}`")) == F.col("__row")]
     joined = docs.join(gone, mine, "left").withColumn("__n", F.size(lines_of(F.col(f"`{text}`"))))

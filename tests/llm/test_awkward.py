@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.llm import decontamination, fingerprint_index, jaccard, language_id, line_dedup, mixing, quality, suffix_dedup, token_counts, url_filter
+from strandframe.llm import common, decontamination, fingerprint_index, jaccard, language_id, line_dedup, mixing, quality, suffix_dedup, token_counts, url_filter
 from test_operators import WORD, brute_components
 
 A = " ".join(f"shared{i}" for i in range(60))
@@ -162,6 +162,28 @@ def test_lines_of_repeated_ids(spark):
     assert got == {(d, t): (t.count("\n") + 1, 0 if d == 5 else sum(x.strip().lower() == line for x in t.split("\n"))) for d, t in rows}
 
 
+@pytest.mark.parametrize("bytes_each", [8 << 20, 1 << 10])
+def test_files_of_small_line_tables(spark, monkeypatch, bytes_each):
+    """Many shuffle partitions don't make many files; a smaller share of bytes for each makes more of them, with the same rows."""
+    made = {}
+    monkeypatch.setattr(common, "PARTITION_BYTES", bytes_each, raising=False)
+    monkeypatch.setattr(line_dedup, "table", lambda df, name: made.setdefault(name, common.table(df, name)))
+    lines = [f"line {k} is long enough to be counted, as are all others" for k in range(300)]
+    rows = [(i, "\n".join([*lines[i % 7 :: 7], f"own {i}"])) for i in range(70)]
+    held = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {d: (t.count("\n") + 1, 0 if d >= 63 else t.count("\n")) for d, t in rows}
+    for name in ("lines-frequent", "lines-gone"):
+        assert (len(made[name].inputFiles()) == 1) == (bytes_each > 1 << 10)
+
+
 def test_clashing_columns(spark, sf_dir):
     base = [(1, "some words of a text that is long enough to count as one\nand a second line of it", "a"), (None, None, None), (1, "", "b")]
     df = spark.createDataFrame(base, "doc_id long, text string, source string").withColumns({c: F.lit(9) for c in ("N_words", "kept", "lost", "name", "root", "g", "n", "size", "rate", "key", "host", "verdict", "item_id", "lang_pred", "score", "counts")})
